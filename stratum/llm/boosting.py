@@ -60,9 +60,9 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which on the held-out rows reach the precision (counted with one more false one); 1.1 if none."""
+    """The least score, 0.5 at least, from which on held-out rows reach the precision (with one more false one); 1.1 if none."""
     order = np.argsort(-p, kind="stable")
     right = np.cumsum(y[order])
     rate = right / (np.arange(len(y)) + 2)
     last = np.flatnonzero((rate >= precision) & (np.append(p[order][1:], -1) < p[order]))
-    return float(p[order][last[-1]]) if len(last) else 1.1
+    return max(0.5, float(p[order][last[-1]])) if len(last) else 1.1

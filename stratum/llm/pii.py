@@ -77,8 +77,11 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def kind_of(span: str) -> str | None:
-    """What the span is once marks that don't belong are taken out of it: the distant label of training."""
+def kind_of(text: str, begin: int, stop: int) -> str | None:
+    """What a span is once marks that don't belong are taken out of it: the distant label of training. Parts of words are none."""
+    span = text[begin:stop]
+    if text[begin - 1 : begin].isalnum() or text[stop : stop + 1].isalnum():
+        return None
     clean = NOISE.sub("", span).replace("[at]", "@").replace("(at)", "@")
     clean = clean.replace(" ", "") if "@" in clean else clean
     for kind, start, end in base_spans(clean):
@@ -116,7 +119,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_
 
     def examples(batches):
         for batch in batches:
-            found = [(features(t, *c), kind_of(t[c[0] : c[1]])) for t in texts(batch.column(0)) for c in candidates(t)]
+            found = [(features(t, *c), kind_of(t, *c[:2])) for t in texts(batch.column(0)) for c in candidates(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([k for _, k in found], pa.string())], names=["x", "kind"])
 
     rows = sample.mapInArrow(examples, "x array<double>, kind string").limit(max_spans).collect()

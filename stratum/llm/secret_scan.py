@@ -91,7 +91,7 @@ def file_features(text: str, found: list) -> list[str]:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_docs: int = 4000, max_runs: int = 8000) -> dict:
     """A tagger fitted on a bounded sample: texts of about max_docs rows, chosen by a hash of the id, and max_runs runs.
 
-    Tokens that lie in a base span begin (B) or go on with (I) a secret, all other admissible tokens are outside. Words
+    Tokens that lie in a base span, or would once in lower case, begin (B) or go on with (I) a secret; others are outside. Words
     beside a token are hidden in a third of the examples, so that shape alone must tell as well.
     """
     spark = df.sparkSession
@@ -112,7 +112,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_
                 for chain in chains:
                     labels = []
                     for s, e in chain:
-                        inside = any(s < y and x < e for _, x, y in base)
+                        inside = any(s < y and x < e for _, x, y in base) or bool(HEX.fullmatch(text[s:e].lower()))
                         labels.append(O if not inside else I if labels and labels[-1] != O else B)
                     feats.append(["\x1f".join(token_features(text, s, e, page)) for s, e in chain])
                     gold.append(labels)
