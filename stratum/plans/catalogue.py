@@ -1,4 +1,699 @@
-"""Every query by name, with its SQL twin."""
+"""Every query of the library by name, each beside its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratum.functions import expr
+from stratum.functions.device_id import device_id_text
+from stratum.operators import blocks as block_ops
+from stratum.operators import collection, index, intake, integrity, leases, snapshots, versions
+from stratum.plans.oracle import with_fixtures
+from stratum.sources import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+SINCE, DIRECTORY = 500, "src1/en"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL over the fixtures if SQL can express it."""
+
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = with_fixtures(sql)
+        return function
+
+    return add
+
+
+# --- index ---
+
+
+@query("SELECT folder, name, sequence, deleted, size FROM files")
+def full_index(spark, d):
+    return index.full_index(fx.files(spark, d)).select("folder", "name", "sequence", "deleted", "size")
+
+
+@query("SELECT s.folder, s.seq, f.name, f.size FROM seqs s JOIN files f ON s.folder = f.folder AND s.name = f.name WHERE s.seq > 500")
+def delta_index(spark, d):
+    return index.delta_index(fx.files(spark, d), fx.seqs(spark, d), SINCE).select("folder", "seq", "name", "size")
+
+
+@query("SELECT folder, name, sequence, size, deleted FROM files WHERE folder = 'en' AND name LIKE 'src1/en/d0/%'")
+def file_lookup(spark, d):
+    return fx.files(spark, d).where((F.col("folder") == "en") & F.startswith("name", F.lit("src1/en/d0/"))).select("folder", "name", "sequence", "size", "deleted")
+
+
+@query("""SELECT f.folder, f.name, coalesce(i.sequence, f.sequence) AS sequence, i.name IS NOT NULL AS is_inbox
+    FROM files f LEFT JOIN (SELECT * FROM inbox WHERE epoch = 3) i ON f.folder = i.folder AND f.name = i.name""")
+def effective_entry(spark, d):
+    return index.effective_entries(fx.files(spark, d), fx.inbox(spark, d), fx.EPOCH)
+
+
+@query("SELECT folder, max(sequence) AS max_sequence FROM files GROUP BY folder UNION ALL SELECT 'empty', 0")
+def local_sequence(spark, d):
+    files = fx.files(spark, d)
+    folders = files.select("folder").distinct().unionByName(spark.createDataFrame([("empty",)], "folder string"))
+    return index.local_sequence(folders, files)
+
+
+@query("SELECT DISTINCT folder, 'Folder ' || folder AS label FROM files")
+def list_folders(spark, d):
+    return fx.files(spark, d).select("folder").distinct().select("folder", F.concat(F.lit("Folder "), "folder").alias("label")).orderBy("folder")
+
+
+@query("SELECT folder, floor FROM floors")
+def peer_floor(spark, d):
+    return index.peer_floor(fx.peers(spark, d))
+
+
+@query("SELECT folder, count(*) AS n_files, greatest(max(sequence), 0) AS last_sequence FROM files GROUP BY folder")
+def index_message(spark, d):
+    return index.index_message(fx.files(spark, d))
+
+
+@query("SELECT DISTINCT folder FROM files WHERE folder IN (SELECT folder FROM peers) AND folder <> 'en'")
+def new_mutual_folders(spark, d):
+    shared = fx.files(spark, d).select("folder").distinct()
+    return index.new_mutual_folders(shared, fx.peers(spark, d), spark.createDataFrame([("en",)], "folder string"))
+
+
+@query("SELECT DISTINCT lang AS folder, 'L-' || lang AS label, lang NOT IN ('en', 'de') AS created FROM documents")
+def ensure_folders(spark, d):
+    proposed = fx.files(spark, d).select("folder", F.concat(F.lit("L-"), "folder").alias("label")).distinct()
+    return index.ensure_folders(proposed, spark.createDataFrame([("en",), ("de",)], "folder string"))
+
+
+@query("SELECT f.folder, 3 AS device, coalesce(p.max_sequence, 0) AS max_sequence FROM (SELECT DISTINCT folder FROM files) f LEFT JOIN peers p ON f.folder = p.folder AND p.device = 3")
+def remote_state(spark, d):
+    return index.remote_state(fx.peers(spark, d), fx.files(spark, d).select("folder", F.lit(3).alias("device")).distinct())
+
+
+@query("""SELECT folder, device, max_sequence FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END AS folder, user_id % 12 AS device,
+    event_id * 31 % 1000 AS max_sequence, row_number() OVER (PARTITION BY user_id % 4, user_id % 12 ORDER BY event_id DESC) AS place FROM events) WHERE place = 1""")
+def remote_state_last_write(spark, d):
+    states = fx.table(spark, d, "events").select(fx._event_folder(), (F.col("user_id") % 12).alias("device"), (F.col("event_id") * 31 % 1000).alias("max_sequence"), F.col("event_id").alias("arrival"))
+    return index.last_write(states)
+
+
+# --- names and keys ---
+
+
+@query("SELECT name, regexp_extract(name, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(name, '([^/]*)$', 1) AS base FROM files")
+def split_name(spark, d):
+    name = F.col("name")
+    return fx.files(spark, d).select("name", expr.dirname(name).alias("dir"), expr.basename(name).alias("base"))
+
+
+@query("SELECT name, 'mn' || regexp_extract(name, '^(.*)/[^/]*$', 1) || '//' || regexp_extract(name, '([^/]*)$', 1) AS key, name AS parsed FROM files")
+def file_keys(spark, d):
+    keyed = fx.files(spark, d).select("name", expr.file_key(F.col("name")).alias("key"))
+    return keyed.withColumn("parsed", expr.parse_file_key(F.col("key")))
+
+
+@query("SELECT sequence, 'ms' || lpad(upper(printf('%x', sequence)), 16, '0') AS key, sequence AS parsed FROM files")
+def seq_keys(spark, d):
+    keyed = fx.files(spark, d).select("sequence", expr.seq_key(F.col("sequence")).alias("key"))
+    return keyed.withColumn("parsed", expr.parse_seq_key(F.col("key")))
+
+
+_BAD = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/' || name WHEN 2 THEN replace(name, '/d', '//d') WHEN 3 THEN '../' || name WHEN 4 THEN name || '/' ELSE name END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN n LIKE '/%' THEN 'absolute' WHEN n LIKE '../%' THEN 'traversal'
+    WHEN n LIKE '%//%' OR n LIKE '%/' THEN 'empty component' END AS error FROM (SELECT doc_id, {_BAD} AS n FROM files)""")
+def validate_names(spark, d):
+    return fx.files(spark, d).withColumn("n", F.expr(_BAD)).select("doc_id", expr.name_error(F.col("n")).alias("error"))
+
+
+@query("SELECT doc_id, CASE WHEN type_code = 1 THEN 'DIRECTORY' WHEN type_code IN (2, 3, 4) THEN 'SYMLINK' ELSE 'FILE' END AS type FROM files")
+def type_mapping(spark, d):
+    return fx.files(spark, d).select("doc_id", expr.wire_type(F.col("type_code")).alias("type"))
+
+
+@query("SELECT folder, count(*) AS blocks, sum(CASE WHEN size < 512 THEN 1 ELSE 0 END)::BIGINT AS inline_blocks FROM blocks GROUP BY folder")
+def inline_split(spark, d):
+    return fx.blocks(spark, d).groupBy("folder").agg(F.count("*").alias("blocks"), F.count_if(expr.is_inline(F.col("size"), fx.INLINE)).alias("inline_blocks"))
+
+
+@query("SELECT doc_id, modified_s, greatest(modified_ns, 0) AS ns FROM files")
+def modified_times(spark, d):
+    return fx.files(spark, d).select("doc_id", "modified_s", expr.modified_nanos(F.col("modified_ns")).alias("ns"))
+
+
+_DIGITS = " || ".join(f"substring('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(v // {32**i} % 32 AS INTEGER) + 1, 1)" for i in range(7, -1, -1))
+
+
+@query(f"SELECT event_id, {_DIGITS} AS text, v AS back FROM (SELECT event_id, event_id * 104729 AS v FROM events)")
+def base32_encode(spark, d):
+    coded = fx.table(spark, d, "events").select("event_id", expr.base32_epoch(F.col("event_id") * 104729).alias("text"))
+    return coded.withColumn("back", expr.parse_base32_epoch(F.concat("text", F.lit(".json"))))
+
+
+@query()
+def device_id_text_query(spark, d):
+    return fx.table(spark, d, "events").select("event_id", device_id_text(F.unhex(F.sha2(F.col("event_id").cast("string"), 256))).alias("text"))
+
+
+QUERIES["device_id_text"] = QUERIES.pop("device_id_text_query")
+
+
+@query("SELECT attempt, CASE WHEN attempt < 10 THEN least(pow(2, attempt), 60.0) END AS delay FROM range(12) AS t(attempt)")
+def backoff_schedule(spark, d):
+    return spark.range(12).select(F.col("id").alias("attempt"), expr.backoff_seconds(F.col("id")).alias("delay"))
+
+
+@query("SELECT size, CAST(CASE WHEN size < 16 THEN 0 WHEN size >= 134217728 THEN 13 ELSE least(floor((floor(log2(size)) - 4) / 2) + 1, 12) END AS INTEGER) AS bucket FROM (SELECT DISTINCT size FROM files)")
+def size_buckets(spark, d):
+    return fx.files(spark, d).select("size").distinct().select("size", expr.size_bucket(F.col("size")).alias("bucket"))
+
+
+# --- versions ---
+
+
+@query("SELECT folder, name, relation FROM pairs")
+def vv_compare(spark, d):
+    return versions.compare_versions(fx.files(spark, d), fx.updates(spark, d))
+
+
+@query("SELECT doc_id, CAST(l1 + l2 + l3 AS BIGINT) AS total FROM files")
+def vv_total(spark, d):
+    return fx.files(spark, d).select("doc_id", expr.vv_total(F.col("version")).cast("long").alias("total"))
+
+
+@query("SELECT doc_id, doc_id % 4 = 0 AS duplicates FROM files")
+def vv_duplicates(spark, d):
+    again = F.when(F.col("doc_id") % 4 == 0, F.concat("version", F.slice("version", 1, 1))).otherwise(F.col("version"))
+    return fx.files(spark, d).select("doc_id", expr.vv_has_duplicates(again).alias("duplicates"))
+
+
+@query("""SELECT folder, name, CASE WHEN lt > rt THEN 'local' WHEN lt < rt THEN 'remote' WHEN NOT deleted AND rdeleted THEN 'local' WHEN deleted AND NOT rdeleted THEN 'remote'
+    WHEN 0 > device THEN 'local' ELSE 'remote' END AS winner, name || '.sync-conflict' AS loser_name FROM pairs WHERE relation = 'Concurrent'""")
+def conflict_winner(spark, d):
+    return versions.conflict_winners(fx.files(spark, d), fx.updates(spark, d))
+
+
+@query("""SELECT c.folder, c.copy_name, b.block_no, n.blockseq FROM (SELECT folder, name, name || '.sync-conflict' AS copy_name FROM pairs WHERE relation = 'Concurrent') c
+    JOIN stored b ON c.folder = b.folder AND c.name = b.name JOIN numbers n ON b.folder = n.folder AND b.hash = n.hash""")
+def conflict_copy(spark, d):
+    losers = versions.conflict_winners(fx.files(spark, d), fx.updates(spark, d))
+    old = fx.stored_blocks(spark, d).join(fx.block_numbers(spark, d), ["folder", "hash"])
+    new = fx.stored_blocks(spark, d).select("folder", "name", "block_no", "hash", F.lit(None).cast("long").alias("blockseq"))
+    carried = intake.carry_pointers(new, old)
+    return losers.join(carried, ["folder", "name"]).select("folder", F.col("loser_name").alias("copy_name"), "block_no", "blockseq")
+
+
+@query("""SELECT u.folder, u.name, CASE WHEN p.name IS NULL THEN 'NeedBlocks' WHEN relation IN ('Greater', 'Equal') THEN 'NoAction' WHEN relation = 'Concurrent' THEN 'Concurrent'
+    WHEN NOT u.changed THEN 'Applied' ELSE 'NeedBlocks' END AS outcome FROM updates u LEFT JOIN pairs p ON u.folder = p.folder AND u.name = p.name""")
+def apply_update_outcome(spark, d):
+    return versions.apply_update_outcome(fx.files(spark, d), fx.updates(spark, d), ~F.col("changed"))
+
+
+@query("SELECT a.doc_id, length(a.text) = length(b.text) AND a.text = b.text AS equal FROM files a JOIN files b ON a.doc_id = b.doc_id + 1")
+def blocks_equal(spark, d):
+    lists = fx.block_lists(spark, d)
+    after = lists.select((F.col("doc_id") + 1).alias("doc_id"), F.col("blocks").alias("other"))
+    return lists.join(after, "doc_id").select("doc_id", expr.blocks_equal(F.col("blocks"), F.col("other")).alias("equal"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'negative size' WHEN doc_id % 5 = 2 THEN 'coverage' WHEN doc_id % 5 = 3 AND n > 1 THEN 'gap' END AS error
+    FROM (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id)""")
+def validate_blocks(spark, d):
+    kind = F.col("doc_id") % 5
+    joined = fx.block_lists(spark, d).join(fx.files(spark, d).select("doc_id", "size"), "doc_id")
+    size = F.when(kind == 1, -1).when(kind == 2, F.col("size") + 1).otherwise(F.col("size"))
+    listed = F.when(kind == 3, F.reverse("blocks")).otherwise(F.col("blocks"))
+    return joined.select("doc_id", size.alias("size"), listed.alias("blocks")).select("doc_id", F.when((F.col("size") >= 0) & (kind == 3) & (F.size("blocks") > 1), "gap").otherwise(expr.block_list_error(F.col("size"), F.col("blocks"))).alias("error"))
+
+
+# --- intake ---
+
+
+@query("SELECT folder, epoch, name, max_by(sequence, arrival) AS sequence, max(arrival) AS arrival FROM (SELECT folder, epoch, name, sequence, arrival FROM inbox UNION ALL SELECT folder, epoch, name, sequence + 7, arrival + 1 FROM inbox WHERE doc_id % 2 = 0) GROUP BY folder, epoch, name")
+def inbox_lww(spark, d):
+    staged = fx.inbox(spark, d).select("folder", "epoch", "name", "sequence", "arrival", "doc_id")
+    again = staged.where("doc_id % 2 = 0").withColumns({"sequence": F.col("sequence") + 7, "arrival": F.col("arrival") + 1})
+    return intake.inbox_last_write(staged.unionByName(again))
+
+
+def _completions(spark, d):
+    """What peers report complete: a third with an outdated version."""
+    other = fx.counters(F.lit(99), F.lit(0), F.lit(0))
+    return intake.promotable(fx.inbox(spark, d), fx.inbox(spark, d).withColumn("version", F.when(F.col("doc_id") % 3 == 1, other).otherwise(F.col("version"))))
+
+
+@query("SELECT folder, epoch, name FROM inbox WHERE doc_id % 3 <> 1 AND missing = 0")
+def promote_ready(spark, d):
+    return _completions(spark, d).where("ready").select("folder", "epoch", "name")
+
+
+@query("SELECT folder, epoch, name, missing FROM inbox WHERE doc_id % 3 <> 1 AND missing > 0")
+def promote_blocked(spark, d):
+    return _completions(spark, d).where("NOT ready").select("folder", "epoch", "name", "missing")
+
+
+@query("""SELECT folder, name, sequence, false AS committed FROM files f WHERE NOT EXISTS (SELECT 1 FROM inbox i WHERE i.folder = f.folder AND i.name = f.name)
+    UNION ALL SELECT i.folder, i.name, m.high + row_number() OVER (PARTITION BY i.folder ORDER BY i.arrival, i.name), true
+    FROM inbox i JOIN (SELECT folder, max(sequence) AS high FROM files GROUP BY folder) m ON i.folder = m.folder""")
+def commit_upsert(spark, d):
+    return intake.commit_upsert(fx.files(spark, d), fx.inbox(spark, d))
+
+
+@query("SELECT folder, count(*) AS dropped FROM inbox WHERE epoch < 3 GROUP BY folder")
+def inbox_gc(spark, d):
+    return intake.expired_inbox(fx.inbox(spark, d), fx.EPOCH)
+
+
+@query("""SELECT folder, hash, CASE WHEN folder = 'en' THEN 5000 ELSE 1024 END + row_number() OVER (PARTITION BY folder ORDER BY hash) - 1 AS blockseq
+    FROM (SELECT DISTINCT folder, hash FROM stored)""")
+def blockseq_assign(spark, d):
+    meta = spark.createDataFrame([("en", 5000), ("de", 3)], "folder string, next_blockseq long")
+    return intake.assign_blockseqs(fx.stored_blocks(spark, d), meta)
+
+
+@query("""SELECT folder, CAST(CASE WHEN folder = 'en' THEN 5000 ELSE 1024 END + 256 * ceil(count(*) / 256.0) AS BIGINT) AS next_blockseq
+    FROM (SELECT DISTINCT folder, hash FROM stored) GROUP BY folder""")
+def blockseq_reserve(spark, d):
+    meta = spark.createDataFrame([("en", 5000), ("de", 3)], "folder string, next_blockseq long")
+    return intake.reserved_blockseq(intake.assign_blockseqs(fx.stored_blocks(spark, d), meta), meta)
+
+
+@query("""SELECT b.folder, b.name, b.block_no, b.hash, CASE WHEN b.doc_id % 2 = 0 AND o.old IS NOT NULL THEN o.old WHEN b.doc_id % 2 = 1 THEN CAST(7 AS BIGINT) END AS blockseq FROM stored b
+    LEFT JOIN (SELECT folder, name, hash, min(2000 + block_no) AS old FROM stored WHERE block_no % 3 <> 1 GROUP BY folder, name, hash) o
+    ON b.folder = o.folder AND b.name = o.name AND b.hash = o.hash""")
+def carry_pointers(spark, d):
+    stored = fx.stored_blocks(spark, d)
+    old = stored.withColumn("blockseq", F.when(F.col("block_no") % 3 != 1, F.lit(2000).cast("long") + F.col("block_no")))
+    new = stored.withColumn("blockseq", F.when(F.col("doc_id") % 2 == 1, F.lit(7).cast("long")))
+    return intake.carry_pointers(new, old)
+
+
+@query("""SELECT b.folder, b.name, count(*) AS needed, count(p.hash) AS stored, count(*) = count(p.hash) AS complete FROM stored b
+    LEFT JOIN payloads p ON b.folder = p.folder AND b.hash = p.hash GROUP BY b.folder, b.name""")
+def completion_state(spark, d):
+    return intake.completion_state(fx.stored_blocks(spark, d), fx.block_data(spark, d))
+
+
+@query("SELECT doc_id AS id, name, CASE WHEN doc_id % 3 = 0 THEN 'pending' WHEN doc_id % 5 = 0 THEN 'peer error' ELSE 'stored' END AS state FROM files")
+def match_responses(spark, d):
+    requests = fx.files(spark, d).select(F.col("doc_id").alias("id"), "name")
+    answers = requests.where("id % 3 <> 0").select("id", F.when(F.col("id") % 5 == 0, 2).otherwise(0).alias("code"))
+    return intake.match_responses(requests, answers)
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 OR doc_id % 10 = 7 THEN 'GENERIC' WHEN doc_id % 9 = 0 OR deleted THEN 'NO_SUCH_FILE' ELSE 'NO_ERROR' END AS code FROM files""")
+def request_codes(spark, d):
+    doc = F.col("doc_id")
+    asked = fx.files(spark, d).select(
+        doc.alias("id"), "folder", F.when(doc % 9 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"),
+        F.when(doc % 10 == 3, -1).otherwise(0).alias("offset"), F.when(doc % 10 == 7, -1).otherwise(100).alias("length"),
+    )
+    return intake.request_codes(asked, fx.files(spark, d))
+
+
+# --- blocks ---
+
+
+def _needed(spark, d):
+    """Blocks of half the documents, a fifth of them changed."""
+    odd = fx.blocks(spark, d).where("doc_id % 2 = 1")
+    return odd.withColumn("hash", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("hash", F.lit("!")), 256)).otherwise(F.col("hash")))
+
+
+_NEEDED = "(SELECT folder, name, block_no, size, CASE WHEN doc_id % 5 = 0 THEN sha256(hash || '!') ELSE hash END AS hash, regexp_extract(name, '^(.*)/[^/]*$', 1) AS dir FROM blocks WHERE doc_id % 2 = 1)"
+
+
+def _canonical(spark, d):
+    return block_ops.canonical_blocks(fx.block_refs(spark, d), fx.block_ptrs(spark, d), fx.block_data(spark, d))
+
+
+@query(f"""SELECT n.folder, n.name, n.block_no, CASE WHEN n.size < 512 THEN 'inline' WHEN c.hash IS NOT NULL AND p.hash IS NOT NULL THEN 'reuse' WHEN c.hash IS NOT NULL THEN 'link' ELSE 'new' END AS action
+    FROM {_NEEDED} n LEFT JOIN canonical c ON n.folder = c.folder AND n.hash = c.hash LEFT JOIN ptrs p ON n.folder = p.folder AND n.dir = p.dir AND n.hash = p.hash""")
+def store_blocks_plan(spark, d):
+    return block_ops.store_plan(_needed(spark, d), _canonical(spark, d), fx.block_ptrs(spark, d), fx.INLINE)
+
+
+@query(f"SELECT DISTINCT n.folder, n.hash FROM {_NEEDED} n JOIN canonical c ON n.folder = c.folder AND n.hash = c.hash WHERE n.size >= 512")
+def reusable_blocks(spark, d):
+    return block_ops.reusable_blocks(_needed(spark, d), _canonical(spark, d), fx.INLINE)
+
+
+@query(f"SELECT DISTINCT n.folder, n.hash FROM {_NEEDED} n LEFT JOIN canonical c ON n.folder = c.folder AND n.hash = c.hash WHERE n.size < 512 OR c.hash IS NULL")
+def blocks_to_fetch(spark, d):
+    return block_ops.blocks_to_fetch(_needed(spark, d), _canonical(spark, d), fx.INLINE)
+
+
+@query("SELECT folder, hash, name, blockseq FROM canonical")
+def canonical_block(spark, d):
+    return _canonical(spark, d)
+
+
+@query("SELECT folder, name, block_no, source, CAST(stored_size AS BIGINT) AS stored_size FROM resolved")
+def resolve_blocks(spark, d):
+    out = block_ops.resolve_blocks(fx.blocks(spark, d), fx.block_ptrs(spark, d), fx.block_data(spark, d), fx.INLINE)
+    return out.select("folder", "name", "block_no", "source", F.col("stored_size").cast("long").alias("stored_size"))
+
+
+@query(f"SELECT DISTINCT n.folder, n.hash FROM {_NEEDED} n JOIN refs r ON n.folder = r.folder AND n.hash = r.hash")
+def has_block(spark, d):
+    return block_ops.has_block(_needed(spark, d).select("folder", "hash").distinct(), fx.block_refs(spark, d))
+
+
+def _live(spark, d):
+    """Live blocks once every other deleted file has lost its row."""
+    return block_ops.live_blocks(fx.blocks(spark, d).where("NOT (deleted AND doc_id % 2 = 0)"), fx.block_ptrs(spark, d))
+
+
+@query("SELECT folder, hash, blockseq FROM live")
+def live_blocks(spark, d):
+    return _live(spark, d)
+
+
+@query("""SELECT folder, CAST(sum(n) AS BIGINT) AS blocks, count(*) AS distinct_blocks, CAST(sum(n * size) AS BIGINT) AS logical_bytes, CAST(sum(size) AS BIGINT) AS stored_bytes
+    FROM (SELECT folder, hash, count(*) AS n, max(size) AS size FROM blocks GROUP BY folder, hash) GROUP BY folder""")
+def dedup_ratio(spark, d):
+    return block_ops.dedup_ratio(fx.blocks(spark, d))
+
+
+@query("""SELECT folder, name, block_no, hash, CAST(greatest(700 - start, 0) AS BIGINT) AS skip,
+    CAST(least(least(1700, file_size) - start, size) - greatest(700 - start, 0) AS BIGINT) AS take FROM blocks WHERE NOT deleted AND start < least(1700, file_size) AND start + size > 700""")
+def range_read_plan(spark, d):
+    asked = fx.files(spark, d).select("folder", "name", F.lit(700).cast("long").alias("start"), F.lit(1000).cast("long").alias("length"))
+    return block_ops.range_plan(fx.blocks(spark, d), asked)
+
+
+# --- integrity ---
+
+
+def _tables(spark, d):
+    files = fx.files(spark, d)
+    meta = files.groupBy("folder").agg(F.max("sequence").alias("max_sequence"))
+    broken = fx.inbox(spark, d).withColumn("sequence", F.when(F.col("doc_id") % 4 != 0, F.col("sequence")))
+    ptrs = fx.block_ptrs(spark, d)
+    low = ptrs.withColumn("blockseq", F.when(F.startswith("hash", F.lit("cd")), 5).otherwise(F.col("blockseq")).cast("long"))
+    return {"files": files, "inbox": broken, "seqs": fx.seqs(spark, d), "meta": meta, "blocks": fx.blocks(spark, d), "ptrs": ptrs, "low": low, "refs": fx.block_refs(spark, d), "data": fx.block_data(spark, d)}
+
+
+def _resolved(t):
+    return block_ops.resolve_blocks(t["blocks"], t["ptrs"], t["data"], fx.INLINE)
+
+
+@query("SELECT folder, name AS subject FROM inbox WHERE doc_id % 4 = 0")
+def fsck_inbox(spark, d):
+    return integrity.inbox_without_file(_tables(spark, d)["inbox"])
+
+
+@query("SELECT folder, CAST(seq AS VARCHAR) AS subject FROM seqs s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.folder = s.folder AND f.name = s.name)")
+def fsck_dangling_seq(spark, d):
+    t = _tables(spark, d)
+    return integrity.dangling_seqs(t["seqs"], t["files"])
+
+
+@query("SELECT s.folder, CAST(s.seq AS VARCHAR) AS subject FROM seqs s JOIN files f ON f.folder = s.folder AND f.name = s.name WHERE s.seq <> f.sequence")
+def fsck_seq_mismatch(spark, d):
+    t = _tables(spark, d)
+    return integrity.mismatched_seqs(t["seqs"], t["files"])
+
+
+@query("SELECT folder, name AS subject FROM files f WHERE NOT EXISTS (SELECT 1 FROM seqs s WHERE f.folder = s.folder AND f.name = s.name AND f.sequence = s.seq)")
+def fsck_missing_seq(spark, d):
+    t = _tables(spark, d)
+    return integrity.missing_seqs(t["files"], t["seqs"])
+
+
+@query("""SELECT m.folder, CAST(s.high AS VARCHAR) AS subject FROM (SELECT folder, max(sequence) AS high FROM files GROUP BY folder) m
+    JOIN (SELECT folder, max(seq) AS high FROM seqs GROUP BY folder) s ON m.folder = s.folder WHERE s.high > m.high""")
+def fsck_max_sequence(spark, d):
+    t = _tables(spark, d)
+    return integrity.low_counters(t["meta"], t["seqs"], t["files"])
+
+
+@query("SELECT folder, name || '#' || block_no AS subject FROM blocks WHERE NOT deleted AND hash LIKE 'ee%'")
+def fsck_bad_hash_len(spark, d):
+    cut = F.when(F.startswith("hash", F.lit("ee")), F.substring("hash", 1, 40)).otherwise(F.col("hash"))
+    return integrity.bad_hashes(fx.blocks(spark, d).withColumn("hash", cut))
+
+
+@query("SELECT folder, name || '#' || block_no AS subject FROM resolved WHERE NOT deleted AND source = 'dangling'")
+def fsck_unresolvable(spark, d):
+    return integrity.unresolvable(_resolved(_tables(spark, d)))
+
+
+@query("SELECT folder, name || '#' || block_no AS subject FROM resolved WHERE NOT deleted AND stored_size <> size")
+def fsck_size_mismatch(spark, d):
+    return integrity.wrong_sizes(_resolved(_tables(spark, d)))
+
+
+@query("SELECT folder, name || '#' || block_no AS subject FROM resolved WHERE NOT deleted AND stored_hash <> hash")
+def fsck_checksum(spark, d):
+    return integrity.wrong_checksums(_resolved(_tables(spark, d)))
+
+
+@query("SELECT folder, name || '#' || block_no AS subject FROM stored WHERE NOT deleted AND hash LIKE '00%'")
+def fsck_missing_reverse(spark, d):
+    t = _tables(spark, d)
+    return integrity.missing_refs(t["blocks"], t["refs"], fx.INLINE)
+
+
+@query("SELECT folder, dir || '/' || hash AS subject FROM ptrs WHERE hash LIKE 'cd%'")
+def fsck_bad_blockseq(spark, d):
+    return integrity.low_blockseqs(_tables(spark, d)["low"])
+
+
+@query("SELECT folder, dir || '/' || hash AS subject FROM ptrs WHERE hash LIKE 'ff%'")
+def fsck_missing_payload(spark, d):
+    t = _tables(spark, d)
+    return integrity.missing_payloads(t["ptrs"], t["data"])
+
+
+@query("SELECT DISTINCT folder, dir || '/' || hash AS subject FROM stored WHERE NOT deleted AND hash LIKE 'a1%'")
+def fsck_missing_pointer(spark, d):
+    t = _tables(spark, d)
+    return integrity.missing_pointers(t["blocks"], t["ptrs"].where(~F.startswith("hash", F.lit("a1"))), fx.INLINE)
+
+
+@query("""SELECT folder, rule, count(*) AS n FROM (
+    SELECT folder, 'inbox' AS rule FROM inbox WHERE doc_id % 4 = 0
+    UNION ALL SELECT folder, 'dangling sequence' FROM seqs s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.folder = s.folder AND f.name = s.name)
+    UNION ALL SELECT s.folder, 'sequence mismatch' FROM seqs s JOIN files f ON f.folder = s.folder AND f.name = s.name WHERE s.seq <> f.sequence
+    UNION ALL SELECT m.folder, 'counter too low' FROM (SELECT folder, max(sequence) AS high FROM files GROUP BY folder) m JOIN (SELECT folder, max(seq) AS high FROM seqs GROUP BY folder) s ON m.folder = s.folder WHERE s.high > m.high
+    UNION ALL SELECT folder, 'unresolvable block' FROM resolved WHERE NOT deleted AND source = 'dangling'
+    UNION ALL SELECT folder, 'missing reference' FROM stored WHERE NOT deleted AND hash LIKE '00%'
+    UNION ALL SELECT folder, 'missing payload' FROM ptrs WHERE hash LIKE 'ff%'
+    UNION ALL SELECT folder, 'missing sequence' FROM files f WHERE NOT EXISTS (SELECT 1 FROM seqs s WHERE f.folder = s.folder AND f.name = s.name AND f.sequence = s.seq)
+    UNION ALL SELECT folder, 'size mismatch' FROM resolved WHERE NOT deleted AND stored_size <> size
+    UNION ALL SELECT folder, 'checksum' FROM resolved WHERE NOT deleted AND stored_hash <> hash
+    UNION ALL SELECT folder, 'payload checksum' FROM ptrs WHERE hash LIKE 'ab%') GROUP BY folder, rule""")
+def fsck_summary(spark, d):
+    return integrity.summary(integrity.findings(_tables(spark, d), "full", fx.INLINE))
+
+
+# --- garbage collection and statistics ---
+
+
+@query("SELECT p.folder, p.blockseq FROM payloads p WHERE EXISTS (SELECT 1 FROM live l WHERE l.folder = p.folder AND l.blockseq = p.blockseq)")
+def gc_block_data(spark, d):
+    return collection.keep_live(fx.block_data(spark, d), _live(spark, d), ["folder", "blockseq"]).select("folder", "blockseq")
+
+
+@query("SELECT folder, dir, hash FROM ptrs p WHERE EXISTS (SELECT 1 FROM live l WHERE l.folder = p.folder AND l.hash = p.hash)")
+def gc_pointers(spark, d):
+    return collection.keep_live(fx.block_ptrs(spark, d), _live(spark, d), ["folder", "hash"]).select("folder", "dir", "hash")
+
+
+@query("SELECT folder, hash, name FROM refs p WHERE EXISTS (SELECT 1 FROM live l WHERE l.folder = p.folder AND l.hash = p.hash)")
+def gc_reverse(spark, d):
+    return collection.keep_live(fx.block_refs(spark, d), _live(spark, d), ["folder", "hash"]).select("folder", "hash", "name")
+
+
+@query("SELECT folder, name FROM inbox WHERE epoch >= 3")
+def gc_inbox_rows(spark, d):
+    return collection.keep_inbox(fx.inbox(spark, d), fx.EPOCH).select("folder", "name")
+
+
+def _floors(spark, d):
+    """Floors low enough to leave some rows."""
+    return index.peer_floor(fx.peers(spark, d)).withColumn("floor", (F.col("floor") / 20).cast("long"))
+
+
+@query("SELECT s.folder, s.seq, s.name FROM seqs s LEFT JOIN floors f ON s.folder = f.folder WHERE f.floor IS NULL OR s.seq >= f.floor // 20")
+def gc_seqs(spark, d):
+    return collection.keep_seqs(fx.seqs(spark, d), _floors(spark, d)).select("folder", "seq", "name")
+
+
+@query("SELECT s.folder, s.name FROM files s LEFT JOIN floors f ON s.folder = f.folder WHERE NOT s.deleted OR f.floor IS NULL OR s.sequence >= f.floor // 20")
+def gc_tombstones(spark, d):
+    return collection.keep_files(fx.files(spark, d), _floors(spark, d)).select("folder", "name")
+
+
+@query("""SELECT folder, 'seqs' AS class, count(*) AS seen, CAST(sum(kept) AS BIGINT) AS kept FROM (SELECT s.folder, CASE WHEN f.floor IS NULL OR s.seq >= f.floor // 20 THEN 1 ELSE 0 END AS kept
+    FROM seqs s LEFT JOIN floors f ON s.folder = f.folder) GROUP BY folder
+    UNION ALL SELECT folder, 'inbox', count(*), CAST(sum(CASE WHEN epoch >= 3 THEN 1 ELSE 0 END) AS BIGINT) FROM inbox GROUP BY folder""")
+def gc_counters(spark, d):
+    seqs, inbox = fx.seqs(spark, d), fx.inbox(spark, d)
+    return collection.sweep_counts({"seqs": (seqs, collection.keep_seqs(seqs, _floors(spark, d))), "inbox": (inbox, collection.keep_inbox(inbox, fx.EPOCH))})
+
+
+_BUCKETS = ", ".join(f"CAST(sum(CASE WHEN bucket = {i} THEN 1 ELSE 0 END) AS BIGINT) AS bucket_{i}" for i in range(14))
+
+
+@query(f"""SELECT prefix, count(*) AS seen, CAST(sum(CASE WHEN tombstone THEN 1 ELSE 0 END) AS BIGINT) AS tombstones, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS dropped,
+    CAST(sum(bytes) AS BIGINT) AS bytes_total, max(bytes) AS bytes_max, {_BUCKETS} FROM (SELECT *, CAST(CASE WHEN bytes < 16 THEN 0 WHEN bytes >= 134217728 THEN 13
+    ELSE least(floor((floor(log2(bytes)) - 4) / 2) + 1, 12) END AS INTEGER) AS bucket FROM (SELECT folder AS prefix, deleted AS tombstone, doc_id % 7 = 0 AS dropped, CASE WHEN deleted THEN 0 ELSE size END AS bytes FROM files)) GROUP BY prefix""")
+def prefix_stats(spark, d):
+    rows = fx.files(spark, d).select(F.col("folder").alias("prefix"), "size", F.col("deleted").alias("tombstone"), (F.col("doc_id") % 7 == 0).alias("dropped"))
+    return collection.prefix_stats(rows)
+
+
+@query("""SELECT * FROM (SELECT folder, 'meta' AS segment, count(*) % 7 AS l0, count(*) % 3 AS runs FROM files GROUP BY folder) WHERE l0 >= 4 OR runs > 1
+    UNION ALL SELECT * FROM (SELECT folder, 'blocks', count(*) % 64 AS l0, 1 AS runs FROM blocks GROUP BY folder) WHERE l0 >= 32""")
+def compaction_candidates(spark, d):
+    n = F.count("*")
+    meta = fx.files(spark, d).groupBy("folder").agg((n % 7).alias("l0"), (n % 3).alias("runs")).select("folder", F.lit("meta").alias("segment"), "l0", "runs")
+    data = fx.blocks(spark, d).groupBy("folder").agg((n % 64).alias("l0")).select("folder", F.lit("blocks").alias("segment"), "l0", F.lit(1).cast("long").alias("runs"))
+    return collection.compaction_candidates(meta.unionByName(data))
+
+
+# --- snapshots ---
+
+
+def _schedules(spark):
+    return spark.createDataFrame([("1h", 3600), ("1day", 86400), ("5m", 300), ("7days", 604800)], "name string, interval_s long")
+
+
+def _now(spark, d):
+    return fx.now(spark, d).first()["now"]
+
+
+@query("SELECT DISTINCT f.folder, '1h' AS name, c.now AS create_time, c.now + INTERVAL 24 HOUR AS expire_time FROM files f, clock c".replace(", clock c", " JOIN clock c ON true"))
+def checkpoint_rows(spark, d):
+    return _ntz(snapshots.new_checkpoints(fx.files(spark, d).select("folder").distinct(), "1h", F.lit(_now(spark, d)), 86400))
+
+
+def _ntz(df):
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
+@query("SELECT folder, name, create_time, CASE WHEN name = '1day' THEN now + INTERVAL 48 HOUR ELSE expire_time END AS expire_time FROM checkpoints JOIN clock ON true")
+def checkpoint_refresh(spark, d):
+    return _ntz(snapshots.refresh(fx.checkpoints(spark, d), "1day", F.lit(_now(spark, d)), 2 * 86400))
+
+
+@query("SELECT folder, name, create_time FROM checkpoints JOIN clock ON true WHERE expire_time > now")
+def checkpoint_live(spark, d):
+    return _ntz(snapshots.live(fx.checkpoints(spark, d), F.lit(_now(spark, d))).select("folder", "name", "create_time"))
+
+
+@query("""SELECT c.name, CAST(s.interval_s AS BIGINT) AS interval_s, CAST(floor(epoch_us(max(now)) / 1e6 - epoch_us(max(create_time)) / 1e6) AS BIGINT) AS age_s
+    FROM checkpoints c JOIN schedules s ON c.name = s.name JOIN clock ON true GROUP BY c.name, s.interval_s""")
+def checkpoint_ages(spark, d):
+    return snapshots.ages(fx.checkpoints(spark, d), fx.now(spark, d), _schedules(spark))
+
+
+@query("""SELECT s.name, CAST(CASE WHEN a.age IS NULL THEN 0 ELSE greatest(s.interval_s - a.age, 0) END AS BIGINT) AS delay_s FROM schedules s LEFT JOIN
+    (SELECT name, floor(epoch_us(max(now)) / 1e6 - epoch_us(max(create_time)) / 1e6) AS age FROM checkpoints JOIN clock ON true GROUP BY name) a ON s.name = a.name WHERE s.interval_s >= 600""")
+def checkpoint_due(spark, d):
+    schedules = _schedules(spark)
+    return snapshots.due(schedules, snapshots.ages(fx.checkpoints(spark, d), fx.now(spark, d), schedules))
+
+
+@query("SELECT name, CAST(interval_s AS BIGINT) AS interval_s FROM schedules WHERE interval_s >= 600")
+def valid_schedules(spark, d):
+    return snapshots.valid(_schedules(spark))
+
+
+@query("SELECT folder, name, create_time, expire_time FROM checkpoints")
+def list_snapshots(spark, d):
+    return _ntz(fx.checkpoints(spark, d)).orderBy("folder", F.desc("create_time"))
+
+
+@query("SELECT folder, strftime(create_time, '%Y-%m-%dT%H-%M') AS minute, max(create_time) AS create_time FROM checkpoints GROUP BY 1, 2")
+def resolve_snapshot(spark, d):
+    return _ntz(snapshots.by_minute(fx.checkpoints(spark, d)))
+
+
+@query("SELECT create_time, strftime(create_time, '%Y-%m-%dT%H-%M') AS dir FROM checkpoints WHERE name = '1h'")
+def snapshot_dir_name(spark, d):
+    return _ntz(fx.checkpoints(spark, d).where("name = '1h'").select("create_time", expr.snapshot_dir(F.col("create_time")).alias("dir")))
+
+
+@query("""SELECT '/' AS path, 'root' AS level UNION ALL SELECT '/' || folder, 'folder' FROM (SELECT DISTINCT folder FROM checkpoints)
+    UNION ALL SELECT DISTINCT folder || '/' || strftime(create_time, '%Y-%m-%dT%H-%M') || '/', 'snapshot' FROM checkpoints
+    UNION ALL SELECT DISTINCT '/' || folder || '/' || strftime(create_time, '%Y-%m-%dT%H-%M') || '/a/b.txt', 'subpath' FROM checkpoints UNION ALL SELECT 'zz/2024', NULL""")
+def parse_path(spark, d):
+    found = fx.checkpoints(spark, d)
+    minute = expr.snapshot_dir(F.col("create_time"))
+    paths = spark.createDataFrame([("/",), ("zz/2024",)], "path string").unionByName(found.select(F.concat(F.lit("/"), "folder").alias("path")).distinct())
+    paths = paths.unionByName(found.select(F.concat("folder", F.lit("/"), minute, F.lit("/")).alias("path")).distinct())
+    paths = paths.unionByName(found.select(F.concat(F.lit("/"), "folder", F.lit("/"), minute, F.lit("/a/b.txt")).alias("path")).distinct())
+    return snapshots.parse_paths(paths, found)
+
+
+@query("""SELECT folder, regexp_extract(rest, '^([^/]*)', 1) AS entry, max(rest LIKE '%/%') AS is_dir, max(CASE WHEN rest NOT LIKE '%/%' THEN size END) AS size
+    FROM (SELECT folder, substring(name, 9) AS rest, size FROM files WHERE NOT deleted AND name LIKE 'src1/en/%') GROUP BY folder, 2""")
+def read_dir(spark, d):
+    return snapshots.read_dir(fx.files(spark, d), DIRECTORY)
+
+
+@query("""SELECT folder, name AS path, CASE WHEN deleted THEN 'not found' ELSE 'file' END AS kind, CASE WHEN NOT deleted THEN size END AS size FROM files
+    UNION ALL SELECT folder, dir, CASE WHEN max(CASE WHEN deleted THEN 0 ELSE 1 END) = 1 THEN 'directory' ELSE 'not found' END, NULL
+    FROM (SELECT *, regexp_extract(name, '^(.*)/[^/]*$', 1) AS dir FROM files) GROUP BY folder, dir""")
+def file_metadata(spark, d):
+    files = fx.files(spark, d)
+    asked = files.select("folder", F.col("name").alias("path")).unionByName(files.select("folder", expr.dirname(F.col("name")).alias("path")).distinct())
+    return snapshots.file_metadata(files, asked)
+
+
+@query("""SELECT folder, name, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM files
+    WHERE NOT deleted AND NOT (doc_id % 5 = 0 AND doc_id % 7 = 0) AND (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 0)""")
+def snapshot_diff(spark, d):
+    files = fx.files(spark, d)
+    after = files.where("doc_id % 7 <> 0").withColumn("sequence", F.col("sequence") + F.when(F.col("doc_id") % 3 == 0, 9).otherwise(0))
+    return snapshots.snapshot_diff(files.where("doc_id % 5 <> 0"), after)
+
+
+# --- leases and errors ---
+
+
+@query("SELECT epoch, holder, priority FROM leases WHERE epoch = (SELECT min(epoch) FROM leases)")
+def lease_owner(spark, d):
+    return leases.owner(fx.leases(spark, d))
+
+
+@query("SELECT epoch, low_epoch, low_priority, state FROM scavenged")
+def lease_scavenge(spark, d):
+    return leases.scavenge(fx.leases(spark, d))
+
+
+@query("""SELECT m.epoch, CASE WHEN b.regression = 1 THEN 'QueuedBackwardClock' WHEN m.priority > b.owner_priority THEN 'Queued' WHEN b.epoch IS NOT NULL THEN 'Failed'
+    WHEN EXISTS (SELECT 1 FROM leases h WHERE h.epoch > m.epoch AND h.priority > m.priority AND m.modified < h.until) THEN 'Yielded' ELSE 'Owner' END AS outcome
+    FROM leases m LEFT JOIN (SELECT epoch, max(CASE WHEN state = 'regression' THEN 1 ELSE 0 END) AS regression, min_by(low_priority, low_epoch) AS owner_priority
+    FROM scavenged WHERE state <> 'removed' GROUP BY epoch) b ON m.epoch = b.epoch""")
+def lease_outcome(spark, d):
+    return leases.outcomes(fx.leases(spark, d))
+
+
+@query("SELECT l.epoch, l.holder, CASE WHEN l.until > c.now THEN 'Active' ELSE 'Stale' END AS status FROM leases l JOIN (SELECT max(modified) AS now FROM leases) c ON true")
+def lease_status(spark, d):
+    found = fx.leases(spark, d)
+    return leases.status(found, found.agg(F.max("last_modified").alias("now")))
+
+
+@query("SELECT max(epoch) + 1 AS next_epoch FROM leases")
+def next_epoch(spark, d):
+    return leases.next_epoch(fx.leases(spark, d))
+
+
+@query("""SELECT folder, max_by(error, rank) AS error FROM (SELECT lang AS folder, doc_id * 1.0 AS x, CASE doc_id % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'transient' WHEN 2 THEN 'peer' ELSE 'fatal' END AS error, doc_id % 4 AS rank
+    FROM documents WHERE doc_id % 100 < 3 OR lang = 'en') GROUP BY folder""")
+def error_priority(spark, d):
+    doc = F.col("doc_id")
+    error = F.when(doc % 4 == 0, "closed").when(doc % 4 == 1, "transient").when(doc % 4 == 2, "peer").otherwise("fatal")
+    failed = fx.files(spark, d).where((doc % 100 < 3) | (F.col("folder") == "en"))
+    return failed.groupBy("folder").agg(F.max_by(error, doc % 4).alias("error"))
