@@ -3,10 +3,10 @@
 A text is the set of its five-word shingles (words: lower case, split at white space), a set is a sketch of 64 min-hash
 tokens. In each run a set takes the paths of the tokens that the run's hash selects, 1 / threshold of them on average, so
 that sets of that similarity share a path with a probability of at least SURE. Sets on one path are a bucket. Buckets of up
-to BUCKET sets are compared by brute force on sketches; larger ones are split again on newly selected tokens. Runs repeat
-until the target recall. The pairs found, with a margin for the sketch's error, connect provisional classes; inside these
-all sets are compared exactly, block against block, on their whole shingle sets. So links are exact, a link that no run
-found is still counted where its ends are connected otherwise, and nothing lists the pairs of a group.
+to BUCKET sets are compared by brute force on sketches; larger ones are split again on newly selected tokens, in their task
+if it can hold them. Runs repeat until the target recall. The pairs found, with a margin for the sketch's error, connect
+provisional classes; inside these all sets are compared exactly, block against block, on their whole shingle sets. So links
+are exact, a link that no run found is still counted where its ends are connected otherwise, and no group lists its pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from stratum.llm.components import connected_components
 WORDS, THRESHOLD, TOKENS = 5, 0.8, 64
 #: Sets in a bucket or block that is compared by brute force; levels of splitting; share of pairs at the threshold that a run finds.
 BUCKET, LEVELS, SURE = 256, 4, 0.45
+#: Sets of one bucket that a task holds; larger buckets are dealt out again. Tokens in which sets must agree to be compared.
+HELD = 40_000
+CUT = (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)) * TOKENS
 _MULTIPLIERS = np.random.default_rng(64).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,41 +142,77 @@ def spanning(match: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _process(last: bool):
-    """One level: small buckets compared, larger ones split (at the last level: connected as a whole, to be compared exactly)."""
-    cut = (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)) * TOKENS
+def similar(tokens: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches agree in enough tokens to be worth an exact comparison; no more than BUCKET sets."""
+    same = np.zeros((len(tokens), len(tokens)), np.uint8)
+    for j in range(TOKENS):
+        same += tokens[:, j, None] == tokens[None, :, j]
+    return same >= CUT
+
+
+def within(node: np.ndarray, tokens: np.ndarray, path: int, level: int) -> list[tuple[int, int]]:
+    """Edges that connect similar sets of one bucket, found by splitting it further as long as it is large.
+
+    A bucket that is still large after LEVELS splits is one dense group: it is connected as a whole, to be compared exactly.
+    """
+    if len(node) <= BUCKET:
+        return [(int(node[i]), int(node[j])) for i, j in spanning(similar(tokens))]
+    if level >= LEVELS:
+        return [(int(node[0]), int(x)) for x in node[1:]]
+    row, child = choose(np.full(len(node), path, np.uint64), tokens)
+    order = np.argsort(child, kind="stable")
+    row, child = row[order], child[order]
+    begin = np.append(np.flatnonzero(np.append(True, child[1:] != child[:-1])), len(child)) if len(child) else np.zeros(1, int)
+    out = []
+    for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        if hi - lo > 1:
+            out += within(node[row[lo:hi]], tokens[row[lo:hi]], int(child[lo]), level + 1)
+    return out
+
+
+def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges that connect the same nodes without a cycle."""
+    root: dict[int, int] = {}
+    out = []
+    for a, b in edges:
+        x, y = a, b
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        while root.get(y, y) != y:
+            root[y] = y = root.get(root[y], root[y])
+        if x != y:
+            root[y] = x
+            out.append((a, b))
+    return out
+
+
+def _process(level: int):
+    """Buckets are worked off where they lie, with all splits they need; only those too large for one task are dealt out
+    again on their next paths (at the last level: connected as a whole)."""
 
     def run(batches):
-        head = None  # first set of a bucket that comes in parts
-        for table, big in whole_groups(batches, 0, 20_000, 40_000):
+        head = None  # path and first set of a bucket that comes in parts
+        for table, big in whole_groups(batches, 0, 20_000, HELD):
             path, node = table["a"].to_numpy(), table["b"].to_numpy()
             tokens = _tokens(table["sketch"])
-            begin = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-            size = np.diff(np.append(begin, len(path)))
             edges: list[tuple[int, int]] = []
-            pairs = begin[size == 2]
-            fit = pairs[(tokens[pairs] == tokens[pairs + 1]).sum(1) >= cut]
-            edges += zip(node[fit].tolist(), node[fit + 1].tolist())
-            more = []
-            for at, n in zip(begin.tolist(), size.tolist()):
-                if n > BUCKET or big:
-                    if not last:
-                        more.append(np.arange(at, at + n))
-                        continue
-                    head = head if big and head and head[0] == path[at] else (path[at], int(node[at]))
-                    edges += [(head[1], x) for x in node[at : at + n].tolist() if x != head[1]]
-                elif n > 2:
-                    own = tokens[at : at + n]
-                    same = np.zeros((n, n), np.uint8)
-                    for j in range(TOKENS):
-                        same += own[:, j, None] == own[None, :, j]
-                    edges += [(int(node[at + i]), int(node[at + j])) for i, j in spanning(same >= cut)]
+            if big and level < LEVELS:
+                yield _frontier(node, tokens, path.view(np.uint64))
+                continue
+            if big:
+                head = head if head and head[0] == path[0] else (path[0], int(node[0]))
+                edges = [(head[1], x) for x in node.tolist() if x != head[1]]
+            else:
+                begin = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+                size = np.diff(np.append(begin, len(path)))
+                pairs = begin[size == 2]
+                fit = pairs[(tokens[pairs] == tokens[pairs + 1]).sum(1) >= CUT]
+                edges += zip(node[fit].tolist(), node[fit + 1].tolist())
+                for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+                    edges += within(node[at : at + n], tokens[at : at + n], int(path[at]) % 2**64, level)
+            edges = forest(edges)
             if edges:
-                edges = list(set(edges))
                 yield _step(np.zeros(len(edges), np.int32), [a for a, _ in edges], [b for _, b in edges], [None] * len(edges))
-            if more:
-                rows = np.concatenate(more)
-                yield _frontier(node[rows], tokens[rows], path[rows].view(np.uint64))
 
     return run
 
@@ -254,9 +293,9 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     runs = math.ceil(math.log(1 - recall) / math.log(1 - SURE))
     rows, edges = sets.select("node", "sketch").mapInArrow(_start(runs), STEP), None
-    for level in range(LEVELS):
+    for level in range(1, LEVELS + 1):
         ordered = rows.select("a", "b", "sketch").repartition("a").sortWithinPartitions("a", "b")
-        done = materialize(spark, ordered.mapInArrow(_process(level == LEVELS - 1), STEP), "paths")
+        done = materialize(spark, ordered.mapInArrow(_process(level), STEP), "paths")
         found = done.where("kind = 0").select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
         rows = done.where("kind = 1")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratum.llm.common import col, map_rows, materialize, mix, ragged, ship, sized_join, slices, utf8, whole_groups
+from stratum.llm.common import col, map_rows, materialize, mix, ragged, ship, slices, utf8, whole_groups
 
 ANCHOR = 32
 BLOCK = 1 << 18
@@ -404,9 +404,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ask = known.where(F.col("kind").isin(CELL, HOT_CELL))
     lists = ask.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("asked"))
-    lists = materialize(spark, lists, "suffix-asked")
-    cells, owners = lists.agg(F.sum(F.size("asked")), F.count("*")).first()
-    asked = sized_join(docs, lists, "doc", "inner", 48 * (cells or 0) + 64 * owners).select("doc", "text", "asked")
+    asked = docs.join(lists, "doc").select("doc", "text", "asked")  # both grow with the corpus: neither is broadcast
     texts = asked.mapInArrow(_cut_texts(length), "kind int, key long, doc long, start int, n int, text binary")
     windows = known.where(F.col("kind") == WINDOW).select("kind", "key", "doc", "start", "n", F.lit(b"").alias("text"))
     gathered = texts.unionByName(windows).repartition("key").sortWithinPartitions("key", "doc", "start")
@@ -428,7 +426,6 @@ def remove_repeats(
     With `characters`, kept loses only whole characters, so that it is UTF-8. Every input row comes back once. Empty tables give empty results. Input columns of these names are replaced.
     """
     runs = repeated_runs(df, id_col, text_col, length).withColumnsRenamed({"doc": "__doc", "runs": "__runs"})
-    runs = F.broadcast(runs) if _bytes(runs) <= 48 << 20 else runs
     wanted = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("runs", "kept", "n_bytes")]
     source = df.select(*{c: col(c) for c in [*wanted, id_col, text_col]}.values())
     key = F.coalesce(col(id_col).cast("long"), F.lit(NO_ID))
@@ -458,7 +455,3 @@ def cut(data: bytes, runs: list, characters: bool = False) -> bytes:
         at = end
     return b"".join([*out, data[at:]])
 
-
-def _bytes(runs: DataFrame) -> int:
-    rows, spans = runs.agg(F.count("*"), F.sum(F.size("__runs"))).first()
-    return 64 * rows + 16 * (spans or 0)
