@@ -25,7 +25,7 @@ from stratum.llm.common import col, map_rows, materialize, mix, ragged, ship, sl
 ANCHOR = 32
 BLOCK = 1 << 18
 HOT_LOCAL, HOT_TOTAL = 64, 4096
-SORT_BYTES = 3 << 20
+SORT_BYTES = 3 << 19
 SEPARATOR = 0xFF  # never a byte of UTF-8
 CELL, REPEAT, WINDOW, HOT_CELL, HOT_MARK = range(5)
 _TABLE = np.random.default_rng(32).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,19 +60,17 @@ def sort_directly(text: np.ndarray, positions: np.ndarray, depth: int, words: np
     n = len(text)
     order = positions[np.argsort(words[positions], kind="stable")]
     key = words[order]
-    open_ = np.ones(len(order), bool)
     group = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(order)]) - 1
     for at in range(8, depth, 8):
-        tied = np.bincount(group)[group] > 1 if len(group) else open_
-        rows = np.flatnonzero(tied)
+        rows = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
         if not len(rows):
             break
         p = order[rows]
         ahead = p + at
-        key = np.where(ahead < n, words[np.minimum(ahead, n - 1)], 0)
+        key = words[np.minimum(ahead, n - 1)]
         # a suffix that has ended precedes one that goes on with zeros; of two that have, the shorter comes first
         done = ahead >= n
-        key = np.where(done, n - p, key).astype(np.uint64)
+        key = np.where(done, (n - p).astype(np.uint64), key)
         rank = np.lexsort((key, ~done, group[rows]))
         order[rows] = p[rank]
         g, key, done = group[rows][rank], key[rank], done[rank]

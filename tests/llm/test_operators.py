@@ -223,6 +223,7 @@ def test_media_columns(spark):
 
 def test_null_ids_and_empty_tables(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0 and ngram_join.jaccard_classes(none).count() == 0
-    text = "".join(random.Random(8).choice("abcdefghij") for _ in range(150))
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghij") for _ in range(150))
     out = suffix_dedup.remove_repeats(spark.createDataFrame([(None, text), (3, text)], "doc_id long, text string")).collect()
     assert {r.doc_id: len(r.kept) for r in out} == {None: 150, 3: 0}
