@@ -19,11 +19,18 @@ from pyspark.sql import types as T
 #: A side of a join is broadcast only if its measured size is below this; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
 #: Text bytes that one step of a Python operator holds at a time, unless a single row has more.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context, so that they need not have it installed."""
+    """Send this package to the executors, once per context, so that they need not have it installed.
+
+    Also lowers Spark's default number of rows in an Arrow batch, so that batches of long texts stay small.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":  # unless the session has chosen otherwise
+        spark.conf.set(BATCH_ROWS, "2000")
     context = spark.sparkContext
     if getattr(context, "_stratum_shipped", False):
         return

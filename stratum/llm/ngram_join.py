@@ -128,8 +128,8 @@ def _start(runs: int):
 
 def spanning(match: np.ndarray) -> list[tuple[int, int]]:
     """Edges (least member, member) of the components of a boolean matrix."""
-    out, free = [], np.ones(len(match), bool)
-    for i in range(len(match)):
+    out, free = [], match.sum(1) > match.diagonal()  # sets that match another
+    for i in np.flatnonzero(free).tolist():
         if free[i]:
             inside = np.zeros(len(match), bool)
             inside[i] = True
@@ -144,6 +144,8 @@ def spanning(match: np.ndarray) -> list[tuple[int, int]]:
 
 def similar(tokens: np.ndarray) -> np.ndarray:
     """Which pairs of sketches agree in enough tokens to be worth an exact comparison; no more than BUCKET sets."""
+    if len(tokens) <= 40:
+        return (tokens[:, None] == tokens[None]).sum(2) >= CUT
     same = np.zeros((len(tokens), len(tokens)), np.uint8)
     for j in range(TOKENS):
         same += tokens[:, j, None] == tokens[None, :, j]
