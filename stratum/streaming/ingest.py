@@ -50,9 +50,10 @@ class Intake:
             try:
                 for r in range(1, (numbered.agg(F.max("round")).first()[0] or 0) + 1):
                     updates = numbered.where(F.col("round") == r)
-                    files, outcomes = apply_batch(files, updates)
+                    after, outcomes = apply_batch(files, updates)
                     wanted = outcomes.where("outcome = 'NeedBlocks'").select("folder", "name")
                     staged.append(updates.join(wanted, ["folder", "name"], "left_semi").withColumn("epoch", F.lit(0).cast("long")))
+                    files = self.store.settled("files", after)
                 changes = {"inbox": staged[0]} if len(staged) == 1 else {}
                 for more in staged[1:]:
                     changes["inbox"] = changes.get("inbox", staged[0]).unionByName(more)
