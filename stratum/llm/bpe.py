@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from stratum.llm.common import map_rows, texts
 
 #: Bytes of a leaf, encoded by direct merges; pretokens of a worker's memory.
-LEAF, REMEMBER = 8, 500_000
+LEAF, REMEMBER = 16, 500_000
 
 
 class ByteBpe:
@@ -36,13 +36,17 @@ class ByteBpe:
 
     def merge(self, data: bytes) -> list[int]:
         """Direct merges: of all adjacent parts the pair of least rank, leftmost first, until none has a rank."""
-        ranks = self.ranks
+        ranks, none = self.ranks, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
+        near = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]  # rank of each part with the next
+        while near and (best := min(near)) < none:
+            at = near.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del near[at]
+            if at:
+                near[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+            if at < len(near):
+                near[at] = ranks.get(parts[at] + parts[at + 1], none)
         return [ranks[p] for p in parts]
 
     def _stable(self, a: int, b: int) -> bool:
