@@ -402,7 +402,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ask = known.where(F.col("kind").isin(CELL, HOT_CELL))
     lists = ask.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("asked"))
-    asked = docs.join(lists, "doc").select("doc", "text", "asked")  # both grow with the corpus: neither is broadcast
+    asked = docs.join(lists.hint("merge"), "doc").select("doc", "text", "asked")  # both grow with the corpus: neither is broadcast
     texts = asked.mapInArrow(_cut_texts(length), "kind int, key long, doc long, start int, n int, text binary")
     windows = known.where(F.col("kind") == WINDOW).select("kind", "key", "doc", "start", "n", F.lit(b"").alias("text"))
     gathered = texts.unionByName(windows).repartition("key").sortWithinPartitions("key", "doc", "start")
@@ -427,7 +427,7 @@ def remove_repeats(
     wanted = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("runs", "kept", "n_bytes")]
     source = df.select(*{c: col(c) for c in [*wanted, id_col, text_col]}.values())
     key = F.coalesce(col(id_col).cast("long"), F.lit(NO_ID))
-    joined = source.join(runs, key == F.col("__doc"), "left")
+    joined = source.join(runs.hint("merge"), key == F.col("__doc"), "left")
 
     def make():
         def run(column, found):
