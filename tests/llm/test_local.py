@@ -102,6 +102,16 @@ def test_packing_tokenizer_equals_tokenizers():
         assert own.encode_ordinary(text) == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_finds_added_tokens_in_the_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference, mark = Tokenizer.from_file(path), "<|endoftext|>"
+    assert packing.encode(path, f"a {mark} b").tolist() == [64, 220, 50256, 275]
+    for text in [mark, 2 * mark, f"a {mark} b", f"\n\n{mark}\n x", f"ü{mark}漢{mark}", mark[:-1], f"<|{mark}", f" {mark[1:]} x", mark.upper(), "", "no mark"]:
+        assert packing.encode(path, text).tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80))
 def test_plan_is_best_fit_decreasing(lengths):
