@@ -2,9 +2,9 @@
 
 A text is the set of its five-word shingles (words: lower case, split at white space), a set is a sketch of 64 min-hash
 tokens. In each run a set takes the paths of the tokens that the run's hash selects, 1 / threshold of them on average, so
-that sets of that similarity share a path with a probability of at least SURE. Sets on one path are a bucket. Buckets of up
+that sets of that similarity share one path on average. Sets on one path are a bucket. Buckets of up
 to BUCKET sets are compared by brute force on sketches; larger ones are split again on newly selected tokens, in their task
-if it can hold them. Runs repeat until the target recall. The pairs found, with a margin for the sketch's error, connect
+if it can hold them. Runs repeat until the target recall, reckoned for pairs that must survive all LEVELS selections. The pairs found, with a margin for the sketch's error, connect
 provisional classes; inside these all sets are compared exactly, block against block, on their whole shingle sets. So links
 are exact, a link that no run found is still counted where its ends are connected otherwise, and no group lists its pairs.
 """
@@ -23,8 +23,8 @@ from stratum.llm.common import SLICE_BYTES, col, materialize, mix, ship, sized_j
 from stratum.llm.components import connected_components
 
 WORDS, THRESHOLD, TOKENS = 5, 0.8, 64
-#: Sets in a bucket or block that is compared by brute force; levels of splitting; share of pairs at the threshold that a run finds.
-BUCKET, LEVELS, SURE = 256, 4, 0.45
+#: Sets in a bucket or block that is compared by brute force; levels of splitting.
+BUCKET, LEVELS = 256, 4
 #: Sets of one bucket that a task holds; larger buckets are dealt out again. Tokens in which sets must agree to be compared.
 HELD = 40_000
 CUT = (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)) * TOKENS
@@ -100,6 +100,25 @@ def choose(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, mix(u[row, token] ^ _BASE)
 
 
+def survival(shared: int, levels: int) -> float:
+    """The chance that sets which agree in so many tokens are still on one path after so many selections."""
+    chance = 1.0
+    for _ in range(levels):
+        chance = 1 - (1 - chance / (THRESHOLD * TOKENS)) ** shared
+    return chance
+
+
+def missed(runs: int) -> float:
+    """The chance that all runs miss a pair at the threshold whose buckets are all split LEVELS times, over the sketch's variance."""
+    agree = [math.comb(TOKENS, k) * THRESHOLD**k * (1 - THRESHOLD) ** (TOKENS - k) for k in range(TOKENS + 1)]
+    return sum(p * (1 - survival(k, LEVELS) * (k >= CUT)) ** runs for k, p in enumerate(agree))
+
+
+def runs_for(recall: float) -> int:
+    """The least number of runs with that recall; CUT alone misses some 10**-6."""
+    return next(n for n in range(1, 1000) if missed(n) <= 1 - recall)
+
+
 def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
 
@@ -293,8 +312,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.max("sketch").alias("sketch"))
     sets = materialize(spark, sets, "set-classes")
 
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - SURE))
-    rows, edges = sets.select("node", "sketch").mapInArrow(_start(runs), STEP), None
+    rows, edges = sets.select("node", "sketch").mapInArrow(_start(runs_for(recall)), STEP), None
     for level in range(1, LEVELS + 1):
         ordered = rows.select("a", "b", "sketch").repartition("a").sortWithinPartitions("a", "b")
         done = materialize(spark, ordered.mapInArrow(_process(level), STEP), "paths")

@@ -259,3 +259,20 @@ def test_jaccard_of_blocks_and_sketches():
     common = ngram_join.intersections([a, b, c])
     assert common[0, 1] == len(np.intersect1d(a, b)) and common[0, 2] == 0 and common[2, 2] == len(c)
     assert (ngram_join.sketch(a) == ngram_join.sketch(b)).mean() > 0.8
+
+
+def test_runs_find_pairs_whose_buckets_are_all_split():
+    """Sketches at the threshold must stay on one path through all selections, as where all tokens are hot."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**16, (5000, ngram_join.TOKENS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < ngram_join.THRESHOLD, a, a + np.uint16(1))
+    found = np.zeros(len(a), bool)
+    for run in range(ngram_join.runs_for(0.999)):
+        row, path = np.arange(len(a)), ngram_join.mix(np.full(len(a), run + 1, np.uint64))
+        for _ in range(ngram_join.LEVELS):
+            (at, mine), (_, other) = ngram_join.choose(path, a[row]), ngram_join.choose(path, b[row])
+            both = np.isin(mine, other)
+            row, path = row[at[both]], mine[both]
+        found[row] = True
+    assert (~found).sum() <= 12  # of 5000, 5 are due
+    assert abs(ngram_join.survival(51, 4) - 0.316) < 0.01
