@@ -10,7 +10,7 @@ from stratum.llm import language_id, ngram_join, packing, pii, suffix_dedup
 from stratum.llm.common import materialize, read, sized_join
 from stratum.llm.queries import held_out
 
-#: Mean marginal below which a document is in none of the learned languages.
+#: Mean over words of the greatest marginal below which a document is in none of the learned languages, nor in a mix of them.
 LEAST_SCORE = 0.4
 
 
@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in one of the learned languages; those without a letter (null and empty ones too) or too uncertain go."""
     model = language_id.train(docs, usable=~held_out())
     labelled = language_id.identify(docs, model)
-    return labelled.where((F.col("lang_pred") != language_id.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return labelled.where((F.col("lang_pred") != language_id.UNDECIDED) & (F.col("sureness") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Emission scores sum weights of a word's identity (lexicon), affixes and character n-grams; transitions are learned on
 sequences spliced from lines of different languages. Chains are lines. Forward-backward gives each word's marginals; a
-document's language has the greatest mean marginal, which is also its score.
+document's language has the greatest mean marginal, which is also its score. How surely its words are labelled, whatever
+their languages, is told apart from that: the mean over words of each word's greatest marginal.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from stratum.llm.crf import fit, forward_backward
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBER = 400_000
 UNDECIDED = "und"
-RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sureness", T.DoubleType())])
 
 
 def word_features(word: str) -> list[str]:
@@ -136,21 +137,23 @@ class Labeller:
         marginal, _, _ = forward_backward(self.emissions(words), np.cumsum(lengths) - lengths, lengths, self.model["trans"])
         return words, marginal, np.array(sizes)
 
-    def documents(self, given: list[str]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+    def documents(self, given: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and sureness of each text."""
         _, marginal, sizes = self.words(given)
-        langs, scores = [UNDECIDED] * len(given), [0.0] * len(given)
+        langs, scores, sure = [UNDECIDED] * len(given), [0.0] * len(given), [0.0] * len(given)
         own = np.flatnonzero(sizes)
         if len(own) and marginal.shape[1]:
-            mean = np.add.reduceat(marginal.astype(float), (np.cumsum(sizes) - sizes)[own]) / sizes[own, None]
-            for i, best, p in zip(own.tolist(), mean.argmax(1).tolist(), mean.max(1).tolist()):
-                langs[i], scores[i] = self.model["langs"][best], min(1.0, max(0.0, p))
-        return langs, scores
+            at = (np.cumsum(sizes) - sizes)[own]
+            mean = np.add.reduceat(marginal.astype(float), at) / sizes[own, None]
+            single = np.add.reduceat(marginal.max(1).astype(float), at) / sizes[own]
+            for i, best, p, q in zip(own.tolist(), mean.argmax(1).tolist(), mean.max(1).tolist(), single.tolist()):
+                langs[i], scores[i], sure[i] = self.model["langs"][best], min(1.0, max(0.0, p)), min(1.0, max(0.0, q))
+        return langs, scores, sure
 
 
 def identify(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df with lang_pred and score (0 to 1). Null texts and texts without a letter get `und` and 0, as do all if nothing was
-    learned. Whole texts are read; one pass, no shuffle. Input columns of these names are replaced.
+    """df with lang_pred, score and sureness (0 to 1). Null texts and texts without a letter get `und` and 0, as do all if
+    nothing was learned. Whole texts are read; one pass, no shuffle. Input columns of these names are replaced.
     """
 
     def make():

@@ -1,6 +1,9 @@
 """The corpus pipeline against a plain version of what its stages decide."""
 
+from itertools import combinations
+
 import corpus_pipeline
+from stratum.llm import language_id
 from stratum.llm.common import materialize, read
 
 
@@ -49,3 +52,23 @@ def test_stages_keep_columns_and_decide(spark, sf):
     assert set(seen["pii"].doc_id) == set(after.doc_id) == set(seen["packing"].doc_id)
     assert not seen["pii"].text.str.contains(r"@mail\d").any()
     assert seen["packing"].groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_language_stage_keeps_even_mixes(spark, sf):
+    docs = read(spark, sf, "documents")
+    best: dict[str, list[str]] = {}
+    for r in docs.where("lang is not null and text is not null").orderBy("doc_id").collect():
+        best.setdefault(r.lang, []).extend(r.text.split())
+    langs = sorted(best)
+    assert len(langs) == 4
+    mixes = [c for n in (3, 4) for c in combinations(langs, n)]
+    texts = ["\n".join(" ".join(best[lang][30 * i : 30 * i + 30]) for i in range(6) for lang in mix) for mix in mixes]
+    rows = [(10**9 + i, t, None, "mixed", len(t)) for i, t in enumerate(texts)]
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, sf).where(f"doc_id >= {10**9}").collect()}
+    assert kept == {r[0] for r in rows}
+
+
+def test_words_without_a_sure_label_are_unsure():
+    labeller = language_id.Labeller({"langs": list("abcd"), "index": {}, "weights": language_id.np.zeros((1, 4), "f"), "trans": language_id.np.zeros((4, 4), "f")})
+    assert labeller.documents(["some words"])[2][0] < corpus_pipeline.LEAST_SCORE
