@@ -22,8 +22,18 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 #: High-recall generators: an at sign or its spelling with words around it; digits with up to six marks between them.
-LOOSE_EMAIL = re.compile(r"[^\s@|]{1,64}\s?(?:@|[\[(]at[\])])\s?[^\s@|]{1,64}")
+AT = re.compile(r"@|\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s(?=[^\s@|]+(?:\sdot\s|\s?[\[({<]\s?(?:dot|\.)))", re.IGNORECASE)
+DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s", re.IGNORECASE)
+AFTER_AT = re.compile(rf"\s?[^\s@|]+(?:(?:{DOT.pattern})[^\s@|]+)*", re.IGNORECASE)
+EDGE = "()[]{}<>,.;:!?\"'"
 LOOSE_DIGITS = re.compile(r"[+(]?[0-9](?:[^A-Za-z0-9\n]{0,6}[0-9]){5,}")
+#: Parts of such digits: no kind has more than MOST digits. Marks between items of a list; digits beside a span; forms in a list.
+LEAST, MOST = 6, 19
+DIGITS = re.compile("[0-9]+")
+LISTED = re.compile(r"[,;/|\t]")
+BEFORE, AFTER = re.compile(r"[0-9][^A-Za-z0-9\n]{0,6}$"), re.compile(r"[^A-Za-z0-9\n]{0,6}[0-9]")
+CARD_FORM = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\3[0-9]{4,5}")
+PLAIN_PHONE = re.compile(r"\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}|(?:1[ .-])?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}")
 NOISE = re.compile(r"[^A-Za-z0-9.+@()\x20-]+")
 HINTS = ("mail", "ip", "card", "phone", "tel", "call", "address", "contact", "server", "visa", "fax")
 SPANS = T.StructType([T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
@@ -69,11 +79,52 @@ def _octet(part: str) -> bool:
 
 def candidates(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, has an at sign) of every span that a generator proposes; they may overlap."""
-    out = []
-    if "@" in text or "(at)" in text or "[at]" in text:
-        out += [(m.start(), m.end(), True) for m in LOOSE_EMAIL.finditer(text)]
+    out = [(s, e, True) for s, e in _loose_emails(text)] if "@" in text or AT.search(text) else []
     if DIGIT.search(text):
-        out += [(m.start(), m.end(), False) for m in LOOSE_DIGITS.finditer(text)]
+        for m in LOOSE_DIGITS.finditer(text):
+            out += [(s, e, False) for s, e in _parts(text, m.start(), m.end())]
+    return out
+
+
+def _loose_emails(text: str) -> list[tuple[int, int]]:
+    """The words at both sides of each at sign, with and without the marks at their edges."""
+    out, signs = [], list(AT.finditer(text))
+    for i, m in enumerate(signs):
+        least = signs[i - 1].end() if i else 0
+        start = m.start()
+        if m[0] == "@" and start > least and text[start - 1].isspace():
+            start -= 1
+        while start > least and not text[start - 1].isspace() and text[start - 1] not in "@|":
+            start -= 1
+        right = AFTER_AT.match(text, m.end(), signs[i + 1].start() if i + 1 < len(signs) else len(text))
+        if right and text[start : m.start()].strip():
+            end = right.end()
+            out.append((start, end))
+            low, high = start, end
+            while low < m.start() and text[low] in EDGE:
+                low += 1
+            while high > m.end() and text[high - 1] in EDGE:
+                high -= 1
+            if (low, high) != (start, end) and low < m.start() and high > m.end():
+                out.append((low, high))
+    return out
+
+
+def _parts(text: str, begin: int, stop: int) -> list[tuple[int, int]]:
+    """A run of digits and marks, and every part of it between marks that has as many digits as some kind has."""
+    groups = [(m.start(), m.end()) for m in DIGITS.finditer(text, begin, stop)]
+    out = [(begin, stop)]
+    for i, (start, _) in enumerate(groups):
+        while start > begin and text[start - 1] in "+(":
+            start -= 1
+        n, mine = 0, []
+        for low, high in groups[i:]:
+            n += high - low
+            if n > MOST:
+                break
+            if n >= LEAST and (start, high) != (begin, stop):
+                mine.append((start, high))
+        out += reversed(mine)
     return out
 
 
@@ -82,10 +133,17 @@ def kind_of(text: str, begin: int, stop: int) -> str | None:
     span = text[begin:stop]
     if text[begin - 1 : begin].isalnum() or text[stop : stop + 1].isalnum():
         return None
-    clean = NOISE.sub("", span).replace("[at]", "@").replace("(at)", "@")
+    clean = NOISE.sub("", DOT.sub(".", AT.sub("@", span)))
     clean = clean.replace(" ", "") if "@" in clean else clean
+    part = bool(BEFORE.search(text[max(0, begin - 7) : begin]) or AFTER.match(text, stop))
+    if part and "@" not in clean:  # an item of a list of numbers: whole by itself, and of a usual form
+        if LISTED.search(span) or re.search(r"[0-9][.-]$", text[max(0, begin - 2) : begin]) or re.match(r"[.-][0-9]", text[stop : stop + 2]):
+            return None
+    bare = clean.strip(" .-")
+    if PLAIN_PHONE.fullmatch(bare):
+        return "phone"
     for kind, start, end in base_spans(clean):
-        if end - start >= 0.9 * len(clean.strip(" ().-")):
+        if end - start >= 0.9 * len(clean.strip(" ().-")) and not (part and kind == "card" and not CARD_FORM.fullmatch(bare)):
             return kind
     return None
 
@@ -104,6 +162,7 @@ def features(text: str, start: int, end: int, at_sign: bool) -> list[float]:
         sum(len(x) for x in NOISE.findall(span)), float(luhn(digits)) if digits else 0.0, len(sound), len(tail), float(tail.isalpha()),
         sum(c.isalpha() for c in span), float(any(h in w for w in words for h in HINTS)), float(start > 0 and text[start - 1].isalnum()),
         float(end < len(text) and text[end].isalnum()), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
+        float(bool(BEFORE.search(text[max(0, start - 7) : start]))), float(bool(AFTER.match(text, end))), float(len(LISTED.findall(span))),
     ]
 
 

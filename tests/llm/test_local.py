@@ -243,6 +243,22 @@ def test_base_personal_data():
     assert [k for k, *_ in pii.base_spans("4111-1111-1111-1111")] == ["card"]
 
 
+def test_candidates_of_lists_and_spelled_addresses():
+    def proposed(text):
+        return {text[s:e]: pii.kind_of(text, s, e) for s, e, _ in pii.candidates(text)}
+
+    two = proposed("555-123-4567, 555-987-6543")
+    assert two["555-123-4567"] == two["555-987-6543"] == "phone" and two["123-4567, 555-987"] is None
+    mixed = proposed("+1 555 123 4567 / (555) 987-6543")
+    assert mixed["+1 555 123 4567"] == mixed["(555) 987-6543"] == "phone"
+    cards = proposed("4111 1111 1111 1111, 5500 0000 0000 0004")
+    assert cards["4111 1111 1111 1111"] == cards["5500 0000 0000 0004"] == "card"
+    assert proposed("555-123-4567-8901").get("555-123-4567") is None
+    for text in ("a.b[AT]c.de", "a.b (At) c.de", "a.b{at}c[dot]de", "jo at example dot org", "x" * 90 + "[at]" + "y" * 90 + ".org"):
+        assert proposed(f"to {text} now")[text] == "email"
+    assert len(pii.candidates("12 " * 3000)) < 20 * 3000
+
+
 def test_trees_and_threshold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 4))

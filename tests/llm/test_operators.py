@@ -198,6 +198,16 @@ def test_personal_data_is_found_and_redacted(spark, none):
     assert pii.find_personal_data(none, pii.train(none)).count() == 0
 
 
+def test_every_number_of_a_list_is_found(spark):
+    rng = random.Random(12)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    wide = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(i, f"call {number()}, {number()} or {wide()}") for i in range(300)] + [(300 + i, f"numbers {i} 20 30 4000 50 60, id {rng.randint(10**7, 10**8)}") for i in range(300)]
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    for text, want in (("call 555-123-4567, 555-987-6543", {"555-123-4567", "555-987-6543"}), ("call +1 555 123 4567 / (555) 987-6543", {"+1 555 123 4567", "(555) 987-6543"}), ("numbers 7 20 30 4000 50 60", set())):
+        assert {text[s:e] for _, s, e in pii.all_spans([text], model)[0]} == want
+
+
 def test_language_of_held_out_words(spark, none):
     rng = random.Random(6)
     make = {"aa": "bcdxyz", "bb": "klmopq"}
