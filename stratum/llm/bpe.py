@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from stratum.llm.common import map_rows, texts
 
-#: Bytes of a leaf, encoded by direct merges; pretokens of a worker's memory.
-LEAF, REMEMBER = 16, 500_000
+#: Pretokens, halves of up to 64 bytes, and bytes of longer halves that a worker remembers.
+REMEMBER, HALVES, LONG = 500_000, 1 << 18, 16 << 20
 
 
 class ByteBpe:
@@ -31,11 +32,16 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.stable = functools.lru_cache(1 << 17)(self._stable)
+        self.pair = functools.lru_cache(1 << 18)(self._pair)
+        self.short = functools.lru_cache(HALVES)(self._halves)
+        self.long: dict[bytes, tuple[int, ...]] = {}
+        self.long_bytes = 0
         self.known: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Direct merges: of all adjacent parts the pair of least rank, leftmost first, until none has a rank."""
+        if len(data) > 64:
+            return self._merge_by_heap(data)
         ranks, none = self.ranks, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
         near = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]  # rank of each part with the next
@@ -49,31 +55,69 @@ class ByteBpe:
                 near[at] = ranks.get(parts[at] + parts[at + 1], none)
         return [ranks[p] for p in parts]
 
-    def _stable(self, a: int, b: int) -> bool:
-        return self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def _merge_by_heap(self, data: bytes) -> list[int]:
+        """The same merges in n log n steps, for windows that had to grow."""
+        ranks, n = self.ranks, len(data)
+        part = [data[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if not part[i] or j >= n or ranks.get(both := part[i] + part[j]) != rank:
+                continue  # one of the two has been merged since
+            part[i], part[j] = both, b""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get(both + part[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := ranks.get(part[h] + both)) is not None:
+                heapq.heappush(heap, (r, h))
+        return [ranks[p] for p in part if p]
+
+    def _pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of the bytes of two tokens; they are stable if it is these two again."""
+        return tuple(self.merge(self.tokens[a] + self.tokens[b]))
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of two encodings, one after the other."""
         if not left or not right:
             return left + right
+        pair = self.pair
+        middle = pair(left[-1], right[0])
+        if middle == (left[-1], right[0]):
+            return left + right
         i = j = 1
         while True:
-            middle = self.merge(b"".join(self.tokens[t] for t in left[-i:] + right[:j]))
-            fits_left = i >= len(left) or self.stable(left[-i - 1], middle[0])
-            fits_right = j >= len(right) or self.stable(middle[-1], right[j])
+            fits_left = i >= len(left) or pair(left[-i - 1], middle[0]) == (left[-i - 1], middle[0])
+            fits_right = j >= len(right) or pair(middle[-1], right[j]) == (middle[-1], right[j])
             if fits_left and fits_right:
                 return left[:-i] + middle + right[j:]
             i, j = (i if fits_left else min(2 * i, len(left))), (j if fits_right else min(2 * j, len(right)))
+            middle = tuple(self.merge(b"".join(self.tokens[t] for t in left[-i:] + right[:j])))
 
-    def encode_bytes(self, data: bytes) -> list[int]:
-        """Tokens of one pretoken, halves first."""
-        if data in self.ranks:
-            return [self.ranks[data]]
-        if len(data) <= LEAF:
-            return self.merge(data)
+    def _halves(self, data: bytes) -> tuple[int, ...]:
+        if len(data) == 1:
+            return (self.ranks[data],)
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
+    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
+        """Tokens of one pretoken: its halves are encoded first, down to single bytes, and joined up the tree."""
+        if len(data) <= 64:
+            return self.short(data)
+        if (found := self.long.get(data)) is None:  # a run of one sign has equal halves on every level
+            found = self._halves(data)
+            self.long_bytes += len(data) + 8 * len(found)
+            if self.long_bytes > LONG:
+                self.long.clear()
+                self.long_bytes = 0
+            self.long[data] = found
+        return found
+
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian 32-bit numbers; each match of the pattern by itself."""
         pieces, known = self.pattern.findall(text), self.known

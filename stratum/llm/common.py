@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,16 +22,25 @@ BROADCAST_BYTES = 48 << 20
 #: Text bytes that one step of a Python operator holds at a time, unless a single row has more.
 SLICE_BYTES = 4 << 20
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A key is heavy if more than one row in so many bears it; there are fewer heavy keys than this, whatever the table.
+HEAVY = 1000
+#: Rows and bytes of an Arrow batch, where the session has not chosen others.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(32 << 20))}
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context, so that they need not have it installed.
+def configure(spark: SparkSession) -> None:
+    """Lower Spark's defaults for Arrow batches, so that batches of long texts stay small.
 
-    Also lowers Spark's default number of rows in an Arrow batch, so that batches of long texts stay small.
+    Operators never change settings of the session; the queries and the pipeline call this. Choices other than Spark's
+    defaults are left alone.
     """
-    if spark.conf.get(BATCH_ROWS) == "10000":  # unless the session has chosen otherwise
-        spark.conf.set(BATCH_ROWS, "2000")
+    for name, (default, value) in BATCHES.items():
+        if spark.conf.get(name, default).removesuffix("b") == default:
+            spark.conf.set(name, value)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that they need not have it installed."""
     context = spark.sparkContext
     if getattr(context, "_stratum_shipped", False):
         return
@@ -44,10 +54,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one will do only if all
+    tasks run in the driver's process (local mode, as in tests); on a cluster that is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_stratum_scratch", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = context._stratum_scratch = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="stratum-"))
     return found
 
@@ -64,6 +77,20 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, right_bytes: int
     return left.join(F.broadcast(right) if right_bytes <= BROADCAST_BYTES else right, on, how)
 
 
+def heavy_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left join right on one column; right has a key once at most, left (`rows` rows) may bear one key in most of its rows.
+
+    Keys of more than one row in HEAVY are fewer than HEAVY, so they and their rows of right are broadcast, with a bound that
+    no table can break; the rest is shuffled, where no key has more than one row in HEAVY.
+    """
+    if rows <= HEAVY:
+        return left.join(right, key, "left")
+    heavy = left.groupBy(key).count().where(F.col("count") * HEAVY > rows).select(key)
+    found = right.join(F.broadcast(heavy), key, "left_semi")
+    apart = left.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(found), key, "left")
+    return left.join(F.broadcast(heavy), key, "left_anti").join(right, key, "left").unionByName(apart)
+
+
 def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 

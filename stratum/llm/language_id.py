@@ -21,12 +21,23 @@ from pyspark.sql import types as T
 from stratum.llm.common import col, map_rows, ship, texts
 from stratum.llm.crf import fit, forward_backward
 
+#: Signs that `re` counts as parts of words though they are no letters: fractions, superscripts, Roman numerals and the like.
+NUMERALS = {ord(c): " " for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+NUMERAL_SIGNS = frozenset(map(chr, NUMERALS))
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBER = 400_000
 UNDECIDED = "und"
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sureness", T.DoubleType())])
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    text = text.lower()
+    if not text.isascii() and not NUMERAL_SIGNS.isdisjoint(text):
+        text = text.translate(NUMERALS)
+    return WORD.findall(text)
+
+
 def word_features(word: str) -> list[str]:
     """Lexicon entry, prefixes and suffixes of one to four letters, and all pairs and triples of letters."""
     marked = f"^{word}$"
@@ -36,37 +47,39 @@ def word_features(word: str) -> list[str]:
 
 def train(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, usable=None, max_docs: int = 2000,
-    max_words: int = 100, max_languages: int = 200, max_features: int = 60_000,
+    max_words: int = 100,
 ) -> dict:
-    """The field, fitted on a bounded sample of labelled rows.
+    """The field, fitted on a bounded sample of labelled rows: max_docs rows of max_words words each.
 
-    Of the rows that meet the condition `usable` and have text and language, max_docs are taken in equal shares from each of
-    the max_languages most frequent languages, by a hash of the id, and of each max_words consecutive words from the middle
-    of the text. Every word of a row bears the row's language.
+    Of the rows that meet the condition `usable` and have text and language, each language gives an equal share, those of
+    the least hashes of their ids, so that the sample does not depend on how the rows are dealt out. With more languages
+    than max_docs, those of the most rows are learned. Of a row max_words consecutive words are taken, from a place that its
+    hash names. Every word of a row bears the row's language. Only this fit is bounded; identify() reads whole texts.
     """
     ship(df.sparkSession)
     labelled = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull() & (F.lit(True) if usable is None else usable))
-    counts = labelled.groupBy(col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    labelled = labelled.select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.xxhash64(col(id_col)).alias("hash"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_docs).collect()
     if not counts:
         return {"langs": [], "index": {}, "weights": np.zeros((0, 0)), "trans": np.zeros((0, 0))}
     share = max(1, max_docs // len(counts))
-    picked = F.lit(False)
-    for row in counts:
-        picked = picked | ((col(lang_col) == row["lang"]) & (F.pmod(F.xxhash64(col(id_col)), F.lit(max(1, row["count"] // share))) == 0))
-    sample = labelled.where(picked).select(col(lang_col).alias("lang"), col(text_col).alias("text"))
+    known = df.sparkSession.createDataFrame([(r["lang"], max(1, r["n"] // (2 * share))) for r in counts], "lang string, one_in long")
+    sample = labelled.join(F.broadcast(known), "lang").where(F.pmod("hash", "one_in") == 0).select("lang", "hash", "text")  # max_docs rows at most
 
-    def middle(batches):
+    def stretch(batches):
         for batch in batches:
-            words = [WORD.findall(t.lower()) for t in texts(batch.column(1))]
-            cut = [w[max(0, (len(w) - max_words) // 2) :][:max_words] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string()))], names=["lang", "words"])
-
-    rows = sample.mapInArrow(middle, "lang string, words array<string>").limit(2 * max_docs).collect()
-    langs = sorted({r.lang for r in rows if r.words})
+            words = [words_of(t) for t in texts(batch.column(2))]
+            cut = [w[h % max(1, len(w) - max_words + 1) :][:max_words] for w, h in zip(words, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cut, pa.list_(pa.string()))], names=["lang", "hash", "words"])
+
+    rows = sample.mapInArrow(stretch, "lang string, hash long, words array<string>").orderBy("hash", "words").limit(4 * max_docs).collect()
+    taken: Counter = Counter()
+    rows = [r for r in rows if r.words and (taken.update([r.lang]) or taken[r.lang] <= share)]
+    langs = sorted({r.lang for r in rows})
     number = {lang: i for i, lang in enumerate(langs)}
-    pieces = sorted((r.lang, tuple(r.words)) for r in rows if r.words)
+    pieces = sorted((r.lang, tuple(r.words)) for r in rows)
     counted = Counter(f for _, words in pieces for w in set(words) for f in word_features(w))
-    index = {f: i for i, (f, _) in enumerate(sorted(((f, c) for f, c in counted.items() if c > 1), key=lambda x: (-x[1], x[0]))[: max_features - 1], 1)}
+    index = {f: i for i, f in enumerate(sorted(f for f, c in counted.items() if c > 1), 1)}
     rng = random.Random(7)
     stretches = []
     for lang, words in pieces:  # stretches of several words, spliced into switching sequences
@@ -125,8 +138,8 @@ class Labeller:
         words, lengths, sizes = [], [], []
         for text in given:
             before = len(words)
-            for line in text.lower().split("\n"):
-                found = WORD.findall(line)
+            for line in text.split("\n"):
+                found = words_of(line)
                 if found:
                     words += found
                     lengths.append(len(found))
@@ -153,7 +166,9 @@ class Labeller:
 
 def identify(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with lang_pred, score and sureness (0 to 1). Null texts and texts without a letter get `und` and 0, as do all if
-    nothing was learned. Whole texts are read; one pass, no shuffle. Input columns of these names are replaced.
+    nothing was learned. Of languages of equal score the first by name is taken. Rows that repeat get equal results, an
+    empty table an empty one. Whole texts are read; one pass, no shuffle. Input columns of these names, in any case, are
+    replaced.
     """
 
     def make():
