@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import tempfile
@@ -195,6 +196,30 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: int, rows: int, most: i
         yield pa.Table.from_batches(held).combine_chunks(), False
 
 
+class Taken:
+    """Disjoint ranges in order; whether another one meets any of them is one search."""
+
+    def __init__(self, ranges: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(ranges):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+    def add(self, start: int, end: int) -> None:
+        """Take a range that meets none."""
+        at = bisect.bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of the ranges [start, start + length), one after another."""
     ends = np.cumsum(lengths)
