@@ -2,13 +2,19 @@
 
 Every window of `length` bytes names the anchor in it, the 32-byte string of least hash (leftmost of equals). Equal windows
 name equal anchors, so windows meet in the task that holds their anchor, and nothing else has to. Consecutive windows of one
-anchor form a cell, some 130 bytes of text for 35 windows. Identical cells are merged before and after the shuffle: the
+anchor form a cell, some 130 bytes of text for 35 windows. Copies of a cell are merged before and after the shuffle: the
 earliest stands for all, the windows of the others are repeats. The texts of cells that share an anchor but differ are
 gathered, their suffixes are sorted in two stages (those smaller than their successors directly, the others induced from
 them by bucket scans), and adjacent suffixes with a common prefix of `length` bytes form the classes of equal windows.
 
 Hot anchors, those with over HOT_LOCAL different cells in a batch or HOT_TOTAL in all, are split: their cells fall into
-single windows, which are dealt out and merged by their own hash, so that no task gathers the texts around one common line.
+single windows, which are dealt out with their texts by their own hash, so that no task gathers the texts around one common
+line. Suffix arrays decide them like all others; a window with so many copies that they come in parts goes on from part to
+part by what stood first. Both numbers decide where windows are compared, never the result.
+
+What is a copy of a cell is told by two hashes of 64 bits, of the anchor and of the cell's text. Only cells of one anchor
+are compared, HOT_TOTAL classes at most, so 3 * 10**12 cells (100 TB) expect 3 * 10**12 * 2048 / 2**64 < 0.0004 wrong merges.
+Everything else compares bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +32,14 @@ from stratum.llm.common import col, map_rows, materialize, mix, ragged, ship, sl
 ANCHOR = 32
 BLOCK = 1 << 18
 HOT_LOCAL, HOT_TOTAL = 64, 4096
-SORT_BYTES = 3 << 19
+#: Bytes of the texts that one suffix array holds, unless the cells of one anchor have more; rows of one key held at a time.
+SORT_BYTES, PART = 3 << 19, 50_000
 SEPARATOR = 0xFF  # never a byte of UTF-8
-CELL, REPEAT, WINDOW, HOT_CELL, HOT_MARK = range(5)
+CELL, REPEAT, HOT_CELL, HOT_MARK = range(4)
 _TABLE = np.random.default_rng(32).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ROWS = "kind int, key long, cell long, doc long, start int, n int"
+ROWS = "kind int, key long, cell long, doc long, start long, n int"
 NAMES = ["kind", "key", "cell", "doc", "start", "n"]
-TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
 
 # --- suffix array ---------------------------------------------------------------------------------------------------------
@@ -225,11 +233,6 @@ def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*parts), TYPES)], names=NAMES)
 
 
-def _window_rows(text: bytes, doc: int, start: int, n: int, length: int) -> list[np.ndarray]:
-    digest = np.array([xxhash.xxh3_64_intdigest(text[i : i + length], 1) for i in range(n)], np.uint64).view(np.int64)
-    return _rows(WINDOW, digest, digest, np.full(n, doc), start + np.arange(n), 1)
-
-
 def _gather(length: int):
     """Texts to cells; copies within a batch are merged here, so that a reducer gets one row a batch of each."""
 
@@ -255,14 +258,8 @@ def _gather(length: int):
             marks = np.flatnonzero(new_key & hot)
             parts.append(_rows(HOT_MARK, key[marks], 0, doc[marks], 0, 0))
             parts.append(_merged(doc[later], start[later], n[later]))
-            split = []
-            for i in keep[hot[keep]].tolist():
-                at = offsets[row[i]] + start[i]
-                split.append(_window_rows(data[at : at + n[i] + length - 1].tobytes(), doc[i], start[i], n[i], length))
-            if split:
-                split = [np.concatenate(x) for x in zip(*split)]
-                again = _later(split[1], split[3], split[4])
-                parts += [[x[~again] for x in split], _merged(*(x[again] for x in split[3:]))]
+            apart = keep[hot[keep]]
+            parts.append(_rows(HOT_CELL, mix(cell[apart].view(np.uint64)).view(np.int64), cell[apart], doc[apart], start[apart], n[apart]))
             yield _batch(parts)
 
     return run
@@ -291,7 +288,7 @@ def _merge_cells(batches):
     for table, big in whole_groups(batches, 1, 200_000, 4_000_000):
         kind, key, cell, doc, start, n = (table[c].to_numpy() for c in NAMES)
         parts = []
-        other = np.flatnonzero((kind == REPEAT) | (kind == WINDOW))
+        other = np.flatnonzero((kind == REPEAT) | (kind == HOT_CELL))
         parts.append([x[other] for x in (kind, key, cell, doc, start, n)])
         marked = np.unique(key[kind == HOT_MARK])
         own = np.flatnonzero(kind == CELL)
@@ -310,53 +307,73 @@ def _merge_cells(batches):
         yield _batch(parts)
 
 
+TEXTS = "kind int, key long, doc long, start long, n int, text binary"
+TEXT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+
 def _cut_texts(length: int):
-    """Documents with the list of their cells to decide: the cells' texts, or the windows of hot ones."""
+    """Documents with the list of their cells to decide: the texts of cells, and of the windows of hot ones.
+
+    Equal windows of a batch are merged here, so that one row a batch of each goes on.
+    """
 
     def run(batches):
         for batch in slices(batches, 1):
             out: list[list] = [[], [], [], [], [], []]
+            windows: dict[bytes, tuple[int, int]] = {}
+            later: list[tuple[int, int]] = []
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
                 for a in asked:
-                    piece = data[a["start"] : a["start"] + a["n"] + length - 1]
+                    start = a["start"]
+                    piece = data[start : start + a["n"] + length - 1]
                     if a["kind"] == CELL:
-                        for x, v in zip(out, (CELL, a["key"], doc, a["start"], a["n"], piece)):
+                        for x, v in zip(out, (CELL, a["key"], doc, start, a["n"], piece)):
                             x.append(v)
-                    else:
-                        for i in range(min(a["n"], len(piece) - length + 1)):
-                            digest = xxhash.xxh3_64_intdigest(piece[i : i + length], 1)
-                            for x, v in zip(out, (WINDOW, digest - ((digest >> 63) << 64), doc, a["start"] + i, 1, b"")):
-                                x.append(v)
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["kind", "key", "doc", "start", "n", "text"])
+                        continue
+                    for i in range(a["n"]):
+                        window, place = piece[i : i + length], (doc, start + i)
+                        first = windows.setdefault(window, place)
+                        if first != place:
+                            if place < first:
+                                windows[window], place = place, first
+                            later.append(place)
+            for window, (doc, start) in windows.items():
+                digest = xxhash.xxh3_64_intdigest(window, 1)
+                for x, v in zip(out, (CELL, digest - ((digest >> 63) << 64), doc, start, 1, window)):
+                    x.append(v)
+            columns = [pa.array(x, t) for x, t in zip(out, TEXT_TYPES)]
+            if later:
+                doc, start = np.array(later, np.int64).T
+                kind, key, _, doc, start, n = _merged(doc, start, np.ones(len(doc), np.int64))
+                more = [pa.array(x, t) for x, t in zip((kind, key, doc, start, n), TEXT_TYPES)] + [pa.nulls(len(doc), pa.binary())]
+                columns = [pa.concat_arrays([x, y]) for x, y in zip(columns, more)]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "doc", "start", "n", "text"])
 
     return run
 
 
 def _decide(length: int):
-    """Cells of one anchor together: suffix arrays over a few megabytes of them at a time; windows: by their hash."""
+    """Cells of one key together: suffix arrays over a few megabytes of them at a time."""
 
     def run(batches):
-        lead = None  # the first window of a group that comes in parts
-        for table, big in whole_groups(batches, 1, 1 + SORT_BYTES // 136, 4_000_000):
-            kind, key, doc, start = (table[c].to_numpy() for c in ("kind", "key", "doc", "start"))
+        giant, lead = None, None  # a key whose cells come in parts, and what stood first in the parts so far
+        for table, big in whole_groups(batches, 1, 1 + SORT_BYTES // 136, PART):
+            kind, key, doc, start, n = (table[c].to_numpy() for c in ("kind", "key", "doc", "start", "n"))
             parts = []
+            passed = np.flatnonzero(kind == REPEAT)
+            parts.append(_rows(REPEAT, key[passed], 0, doc[passed], start[passed], n[passed]))
             cells = np.flatnonzero(kind == CELL)
             if len(cells):
-                cell, offset = repeats_in(table["text"].take(pa.array(cells)).to_pylist(), doc[cells], start[cells], length)
-                parts.append(_merged(doc[cells][cell], start[cells][cell] + offset, np.ones(len(cell), np.int64)))
-            windows = np.flatnonzero(kind == WINDOW)
-            if len(windows):
-                k, d, s = key[windows], doc[windows], start[windows]
-                later = _later(k, d, s)
-                if lead and k[0] == lead[0]:
-                    later |= (k == lead[0]) & ((d != lead[1]) | (s != lead[2]))
-                elif big:
-                    lead = (k[0], d[0], s[0])
-                parts.append(_merged(d[later], s[later], np.ones(int(later.sum()), np.int64)))
-            if parts:
-                yield _batch(parts)
+                texts, doc, start = table["text"].take(pa.array(cells)).to_pylist(), doc[cells], start[cells]
+                if big and giant == key[0]:
+                    texts, doc, start = lead[0] + texts, np.append(lead[1], doc), np.append(lead[2], start)
+                cell, offset = repeats_in(texts, doc, start, length)
+                parts.append(_merged(doc[cell], start[cell] + offset, np.ones(len(cell), np.int64)))
+                if big:
+                    first = np.setdiff1d(np.arange(len(texts)), cell)
+                    giant, lead = key[0], ([texts[i] for i in first], doc[first], start[first])
+            yield _batch(parts)
 
     return run
 
@@ -364,18 +381,31 @@ def _decide(length: int):
 def _join_runs(length: int):
     """Repeats sorted by (doc, start): the byte runs they cover, maximal, as one row a document."""
 
+    def joined(doc, start, end):
+        new_doc = np.append(True, doc[1:] != doc[:-1])
+        first = np.flatnonzero(new_doc | np.append(True, start[1:] > _reach(doc, end)[:-1]))
+        return doc[first], start[first], np.maximum.reduceat(end, first)
+
+    def rows(doc, start, stop):
+        owners = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        runs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(owners, len(doc)), pa.int32()), runs)
+        return pa.RecordBatch.from_arrays([pa.array(doc[owners]), lists], names=["doc", "runs"])
+
     def run(batches):
-        for table, _ in whole_groups(batches, 0, 100_000, 2**62):
+        held = None  # the runs so far of a document whose repeats come in parts
+        for table, big in whole_groups(batches, 0, 100_000, 1_000_000):
             doc, start, n = (table[c].to_numpy().astype(np.int64) for c in ("doc", "start", "n"))
-            end = start + n + length - 1
-            new_doc = np.append(True, doc[1:] != doc[:-1])
-            new = new_doc | np.append(True, start[1:] > _reach(doc, end)[:-1])
-            first = np.flatnonzero(new)
-            stop = np.maximum.reduceat(end, first)
-            owners = np.flatnonzero(new_doc[first])
-            runs = pa.StructArray.from_arrays([pa.array(start[first], pa.int32()), pa.array(stop, pa.int32())], names=["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(owners, len(first)), pa.int32()), runs)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first][owners]), lists], names=["doc", "runs"])
+            found = joined(doc, start, start + n + length - 1)
+            if held and not (big and held[0][0] == doc[0]):
+                yield rows(*held)
+                held = None
+            if big:
+                held = joined(*(np.append(x, y) for x, y in zip(held, found))) if held else found
+            else:
+                yield rows(*found)
+        if held:
+            yield rows(*held)
 
     return run
 
@@ -385,28 +415,54 @@ def _join_runs(length: int):
 NO_ID = -(2**63)
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df with __doc, a number for each different (id, text) in the order of the ids; the id itself if none has two texts.
+
+    Texts of one id are ordered by a hash, and told apart by it. Ids and hashes alone are shuffled, in ranges; a range
+    counts its own rows, and the driver adds up one count a range.
+    """
+    spark = df.sparkSession
+    key, mark = F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(col(text_col), F.lit("")))
+    pairs = df.select(key.alias("__doc"), mark.alias("__mark")).distinct()
+    if pairs.groupBy("__doc").count().where("count > 1").isEmpty():
+        return df.withColumn("__doc", key)
+    placed = pairs.repartitionByRange("__doc", "__mark").sortWithinPartitions("__doc", "__mark")
+
+    def count(batches):
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            place = pa.array(np.arange(seen, seen + batch.num_rows))
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int64)), place], names=["__doc", "__mark", "part", "place"])
+
+    placed = materialize(spark, placed.mapInArrow(count, "__doc long, __mark long, part long, place long"), "suffix-ids")
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
+    bases = spark.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "part long, base long")
+    numbers = placed.join(F.broadcast(bases), "part").select(F.col("__doc").alias("__key"), "__mark", (F.col("base") + F.col("place")).alias("__doc"))
+    same = (key == F.col("__key")) & (mark == F.col("__mark"))
+    return df.join(numbers.hint("merge"), same).select(*[col(c) for c in df.columns], "__doc")
+
+
+def repeated_runs(docs: DataFrame, doc_col: str, text_col: str = "text", length: int = 100) -> DataFrame:
     """(doc, runs): the maximal byte runs of each document that strings of `length` bytes with an earlier start cover.
 
-    Earlier: in a document of smaller id, or at a smaller offset of the same; strings are judged on the input. Null texts
-    are empty, a null id is smaller than all others. Rows that repeat an id are one document, so equal rows take nothing
-    from each other; of rows that share an id but not a text the runs are joined. Texts may have any length.
+    Earlier: in a document of smaller number (doc_col, a long that is never null), or at a smaller offset of the same;
+    strings are judged on the input. Null texts are empty. Rows that repeat a number must repeat its text; they take nothing
+    from each other. Texts may have any length.
     """
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
-    spark = df.sparkSession
+    spark = docs.sparkSession
     ship(spark)
-    docs = df.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(col(doc_col).alias("doc"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = docs.mapInArrow(_gather(length), ROWS).repartition("key").sortWithinPartitions("key", "cell", "doc", "start")
     known = materialize(spark, rows.mapInArrow(_merge_cells, ROWS), "suffix-cells")
 
     ask = known.where(F.col("kind").isin(CELL, HOT_CELL))
     lists = ask.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("asked"))
     asked = docs.join(lists.hint("merge"), "doc").select("doc", "text", "asked")  # both grow with the corpus: neither is broadcast
-    texts = asked.mapInArrow(_cut_texts(length), "kind int, key long, doc long, start int, n int, text binary")
-    windows = known.where(F.col("kind") == WINDOW).select("kind", "key", "doc", "start", "n", F.lit(b"").alias("text"))
-    gathered = texts.unionByName(windows).repartition("key").sortWithinPartitions("key", "doc", "start")
-    found = gathered.mapInArrow(_decide(length), ROWS)
+    texts = asked.mapInArrow(_cut_texts(length), TEXTS)
+    found = texts.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(_decide(length), ROWS)
 
     repeats = known.where(F.col("kind") == REPEAT).unionByName(found).select("doc", "start", "n")
     runs = repeats.repartition("doc").sortWithinPartitions("doc", "start")
@@ -421,13 +477,16 @@ def remove_repeats(
 ) -> DataFrame:
     """df with columns runs (see repeated_runs; null: none), kept (the bytes left, binary) and n_bytes (of the input).
 
-    With `characters`, kept loses only whole characters, so that it is UTF-8. Every input row comes back once. Empty tables give empty results. Input columns of these names are replaced.
+    With `characters`, kept loses only whole characters, so that it is UTF-8. Every input row comes back once. Null texts
+    are empty. Documents are ordered by id, a null id before all others. Rows that repeat id and text are one document, so
+    equal rows take nothing from each other; rows that share an id (null too) but not a text are documents of their own, in
+    the order of a hash of their texts. Empty tables give empty results. Input columns of these names, in any case, are
+    replaced.
     """
-    runs = repeated_runs(df, id_col, text_col, length).withColumnsRenamed({"doc": "__doc", "runs": "__runs"})
     wanted = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("runs", "kept", "n_bytes")]
-    source = df.select(*{c: col(c) for c in [*wanted, id_col, text_col]}.values())
-    key = F.coalesce(col(id_col).cast("long"), F.lit(NO_ID))
-    joined = source.join(runs.hint("merge"), key == F.col("__doc"), "left")
+    source = _numbered(df.select(*{c: col(c) for c in [*wanted, id_col, text_col]}.values()), id_col, text_col)
+    runs = repeated_runs(source, "__doc", text_col, length).withColumnsRenamed({"doc": "__owner", "runs": "__runs"})
+    joined = source.join(runs.hint("merge"), F.col("__doc") == F.col("__owner"), "left")
 
     def make():
         def run(column, found):
