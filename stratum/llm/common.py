@@ -164,12 +164,12 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], key: int, rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Join batches sorted by an integer column into tables that end where a group ends.
+def whole_groups(batches: Iterable[pa.RecordBatch], key: int, rows: int, most: int, size: int = 64 << 20) -> Iterator[tuple[pa.Table, bool]]:
+    """Join batches sorted by an integer column into tables of about `rows` rows or `size` bytes that end where a group ends.
 
     A group of more than `most` rows comes in parts, each marked True, so that no group must fit into memory.
     """
-    held, count, giant = [], 0, None
+    held, count, bulk, giant = [], 0, 0, None
     for batch in batches:
         if giant is not None and batch.num_rows:
             ids = batch.column(key).to_numpy()
@@ -182,13 +182,14 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: int, rows: int, most: i
         if batch.num_rows:
             held.append(batch)
             count += batch.num_rows
-        if count >= rows:
+            bulk += batch.nbytes
+        if count >= rows or bulk >= size:
             table = pa.Table.from_batches(held).combine_chunks()
             ids = table.column(key).to_numpy()
             cut = int(np.searchsorted(ids, ids[-1], "left"))
             if cut:
                 yield table.slice(0, cut), False
-            held, count = table.slice(cut).to_batches(), len(ids) - cut
+            held, count, bulk = table.slice(cut).to_batches(), len(ids) - cut, 0
             if count > most:
                 yield table.slice(cut), True
                 held, count, giant = [], 0, ids[-1]

@@ -2,11 +2,15 @@
 
 A text is the set of its five-word shingles (words: lower case, split at white space), a set is a sketch of 64 min-hash
 tokens. In each run a set takes the paths of the tokens that the run's hash selects, 1 / threshold of them on average, so
-that sets of that similarity share one path on average. Sets on one path are a bucket. Buckets of up
-to BUCKET sets are compared by brute force on sketches; larger ones are split again on newly selected tokens, in their task
-if it can hold them. Runs repeat until the target recall, reckoned for pairs that must survive all LEVELS selections. The pairs found, with a margin for the sketch's error, connect
-provisional classes; inside these all sets are compared exactly, block against block, on their whole shingle sets. So links
-are exact, a link that no run found is still counted where its ends are connected otherwise, and no group lists its pairs.
+that sets of that similarity share one path on average. Sets on one path are a bucket. Buckets of up to BUCKET sets are
+compared by brute force on sketches; larger ones are split again on newly selected tokens, in their task if it can hold
+them, and after LEVELS selections are compared by brute force whatever their size. Runs repeat until the target recall,
+reckoned for pairs that must survive all LEVELS selections.
+
+The pairs found, with a margin for the sketch's error, connect provisional classes; inside these all sets are compared
+exactly, block against block, on their whole shingle sets. So links are exact, a link that no run found is still counted
+where its ends are connected otherwise, and no group lists its pairs. A bucket beyond what a task holds after LEVELS
+selections is a provisional class by itself: its brute force is that of the blocks.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from stratum.llm.common import SLICE_BYTES, col, materialize, mix, ship, sized_j
 from stratum.llm.components import connected_components
 
 WORDS, THRESHOLD, TOKENS = 5, 0.8, 64
-#: Sets in a bucket or block that is compared by brute force; levels of splitting.
+#: Sets in a bucket that is compared by brute force; levels of splitting.
 BUCKET, LEVELS = 256, 4
+#: Sets and bytes of shingles in a block of a provisional class; a cell of its comparison holds two blocks.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Sets of one bucket that a task holds; larger buckets are dealt out again. Tokens in which sets must agree to be compared.
 HELD = 40_000
 CUT = (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)) * TOKENS
@@ -172,14 +178,11 @@ def similar(tokens: np.ndarray) -> np.ndarray:
 
 
 def within(node: np.ndarray, tokens: np.ndarray, path: int, level: int) -> list[tuple[int, int]]:
-    """Edges that connect similar sets of one bucket, found by splitting it further as long as it is large.
-
-    A bucket that is still large after LEVELS splits is one dense group: it is connected as a whole, to be compared exactly.
-    """
-    if len(node) <= BUCKET:
+    """Edges that connect similar sets of one bucket, found by splitting it further as long as it is large."""
+    if len(node) <= min(BUCKET, 256):  # counts of `similar` are bytes
         return [(int(node[i]), int(node[j])) for i, j in spanning(similar(tokens))]
     if level >= LEVELS:
-        return [(int(node[0]), int(x)) for x in node[1:]]
+        return [(int(node[i]), int(node[j])) for i, j in reached(tokens)]
     row, child = choose(np.full(len(node), path, np.uint64), tokens)
     order = np.argsort(child, kind="stable")
     row, child = row[order], child[order]
@@ -191,6 +194,30 @@ def within(node: np.ndarray, tokens: np.ndarray, path: int, level: int) -> list[
     return out
 
 
+def reached(tokens: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span the components of similar sketches, by brute force: each set is held against those not reached yet.
+
+    The comparisons are those of all pairs where no two are similar, and a few for each set where most are.
+    """
+    out, free = [], np.arange(len(tokens))
+    rest = np.ascontiguousarray(tokens.T)
+    while len(free):
+        first, queue = int(free[0]), [int(free[0])]
+        free, rest = free[1:], rest[:, 1:]
+        while queue and len(free):
+            mine = tokens[queue.pop()]
+            same = np.zeros(len(free), np.uint8)
+            for j in range(TOKENS):
+                same += rest[j] == mine[j]
+            hit = same >= CUT
+            if hit.any():
+                found = free[hit].tolist()
+                out += [(first, i) for i in found]
+                queue += found
+                free, rest = free[~hit], np.ascontiguousarray(rest[:, ~hit])
+    return out
+
+
 def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Edges that connect the same nodes without a cycle."""
     root: dict[int, int] = {}
@@ -245,8 +272,9 @@ def _shingles(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], names=["node", "shingles", "root", "copies", "blocks"])
 
 
-def intersections(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, by products of incidence matrices, some thousand elements at a time."""
+    columns = max(256, (1 << 22) // len(sets))
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
@@ -265,23 +293,25 @@ def intersections(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
     return out
 
 
+CELLS = ("root", "low", "high")
+
+
 def _compare(batches):
     """Cells (block against block of one provisional class): exact links of each set, weighted by copies, and spanning edges."""
-    for table, _ in whole_groups(batches, 0, 2_000, 1 << 40):
-        key = table["cell"].to_numpy()
-        begin = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    for table, _ in whole_groups(batches, 0, 2_000, 1 << 40, 4 * BLOCK_BYTES):
+        keys = np.stack([table[c].to_numpy() for c in CELLS], 1)
+        begin = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(keys))
         kind, a, b = [], [], []
         for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
             own = table.slice(lo, hi - lo)
             node, first = np.unique(own["node"].to_numpy(), return_index=True)  # rows that repeat an id count once
             own = own.take(pa.array(first))
-            block, cross = own["block"].to_numpy(), own["cross"].to_numpy()
-            copies = own["copies"].to_numpy()
+            block, copies = own["block"].to_numpy(), own["copies"].to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in own["shingles"].to_pylist()]
             size = np.array([len(s) for s in sets])
             common = intersections(sets).astype(np.int64)
             match = 5 * common >= 4 * (size[:, None] + size[None, :] - common)  # THRESHOLD in whole numbers
-            if cross[0]:
+            if keys[lo, 1] != keys[lo, 2]:  # two blocks: pairs within one are another cell's
                 match &= block[:, None] != block[None, :]
             match[np.diag_indices(len(node))] = False
             links = match @ copies
@@ -302,14 +332,14 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if the Jaccard similarity of their shingle sets is at least 0.8. class_id is the least id that a
     document is connected to through links, its own if none; n_links counts the other rows linked to it, copies included.
     Texts of fewer than five words are one shingle; null texts and those without a word have none and no link. Rows with a
-    null id are left out; rows that share an id share a class. recall sets the number of runs. Copies, equal sets, are one
-    set throughout.
+    null id are left out; rows that share an id share a class. recall sets the number of runs. Copies, equal sets (told by
+    128 bits of hash), are one set throughout. An empty table gives an empty result; other columns play no part.
     """
     spark = df.sparkSession
     ship(spark)
     docs = df.where(col(id_col).isNotNull()).select(col(id_col).cast("long").alias("doc"), col(text_col).alias("text"))
     known = materialize(spark, docs.mapInArrow(_describe, "doc long, k1 long, k2 long, n int, sketch binary"), "sets")
-    sets = known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.max("sketch").alias("sketch"))
+    sets = known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.max("sketch").alias("sketch"), F.max("n").alias("n"))
     sets = materialize(spark, sets, "set-classes")
 
     rows, edges = sets.select("node", "sketch").mapInArrow(_start(runs_for(recall)), STEP), None
@@ -323,18 +353,16 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
 
     members = connected_components(edges)
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / F.lit(BUCKET)).cast("int").alias("blocks")
-    members = members.join(sizes, "root").join(sets.select("node", "copies"), "node").select("node", "root", "copies", blocks)
-    members = materialize(spark, members, "members")
+    members = members.join(sets.select("node", "copies", "n"), "node")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), 8 * F.sum("n") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    members = materialize(spark, members.join(sizes, "root").select("node", "root", "copies", "blocks"), "members")
     wanted = sized_join(docs.withColumnRenamed("doc", "node"), members, "node", "inner", 40 * members.count())
     full = wanted.select("node", "text", "root", "copies", "blocks").mapInArrow(_shingles, "node long, shingles binary, root long, copies long, blocks int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = full.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    cells = dealt.select(F.xxhash64("root", low, high).alias("cell"), "node", "block", (F.col("blocks") > 1).alias("many"), "copies", "shingles", low.alias("low"), high.alias("high"))
-    cells = cells.select("cell", "node", "block", (F.col("low") != F.col("high")).alias("cross"), "copies", "shingles")
-    exact = cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compare, "kind int, a long, b long")
+    dealt = dealt.select("node", "root", "block", "copies", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cells = dealt.select(F.xxhash64(*CELLS).alias("cell"), "*").repartition("cell").sortWithinPartitions("cell", *CELLS, "node")
+    exact = cells.mapInArrow(_compare, "kind int, a long, b long")
     exact = materialize(spark, exact, "links")
 
     classes = connected_components(exact.where("kind = 0").select("a", "b"))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import bpe, language_id, media, ngram_join, packing, pii, secret_scan, suffix_dedup, topk_search, url_filter
-from stratum.llm.common import read
+from stratum.llm.common import configure
+from stratum.llm.common import read as read_table
 from stratum.llm.url_filter import Rule
 
 #: The verdicts that the contract fixes.
@@ -16,6 +17,11 @@ URL_RULES = [Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("b
 URL_GLOBS = [("block", g) for g in ("*spam*/**", "*spam*", "*pills*/**", "*casino*/**", "*.ads.*/**", "**/ads/**", "**.exe", "**/wp-admin/**")]
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    configure(spark)
+    return read_table(spark, sf_dir, table)
+
+
 def _joined(spans: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
