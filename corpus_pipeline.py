@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import language_id, ngram_join, packing, pii, suffix_dedup
-from stratum.llm.common import materialize, read, sized_join
+from stratum.llm.common import configure, materialize, read, sized_join
 from stratum.llm.queries import held_out
 
 #: Mean over words of the greatest marginal below which a document is in none of the learned languages, nor in a mix of them.
 LEAST_SCORE = 0.4
 
 
+def _configured(stage):
+    """A stage that first bounds the session's Arrow batches."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_configured
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter (null and empty ones too) or too uncertain go."""
     model = language_id.train(docs, usable=~held_out())
@@ -21,6 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return labelled.where((F.col("lang_pred") != language_id.UNDECIDED) & (F.col("sureness") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@_configured
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents linked by a similarity of 0.8 or more, the one of least id; ids that are null stay."""
     classes = ngram_join.jaccard_classes(docs)
@@ -28,17 +43,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return sized_join(docs, dropped, "doc_id", "left_anti", 32 * dropped.count())
 
 
+@_configured
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the characters that lie wholly in strings of 100 bytes with an earlier start; n_chars follows."""
     out = suffix_dedup.remove_repeats(docs, characters=True)
     return _with_text(docs, out, F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8")))
 
 
+@_configured
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows."""
     return _with_text(docs, pii.redact(docs, pii.train(docs)), F.col("text"))
 
 
+@_configured
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
