@@ -38,7 +38,7 @@ def _count(kind: str) -> Column:
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantize(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = topk_search.exact_top_k(vectors.where(F.col("id") % 50 == 0), vectors, 5)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
