@@ -214,6 +214,10 @@ class Taken:
         at = bisect.bisect_right(self.ends, start)
         return at < len(self.starts) and self.starts[at] < end
 
+    def covers(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] <= start and end <= self.ends[at]
+
     def add(self, start: int, end: int) -> None:
         """Take a range that meets none."""
         at = bisect.bisect_left(self.starts, start)
