@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 import public_tokenizers
 from stratum.llm import bpe, language_id, media, ngram_join, packing, pii, secret_scan, suffix_dedup, topk_search, url_filter
@@ -66,7 +67,11 @@ def test_remove_repeats_equals_brute_force(spark, docs):
     assert want[7][0] == b"" and want[18][1] == 1
 
 
-def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("constant", [None, "HOT_LOCAL", "HOT_TOTAL", "PART", "SORT_BYTES"])
+def test_hot_anchors_are_split_without_loss(spark, monkeypatch, constant):
+    """Where windows are compared follows from the constants, what comes out does not."""
+    if constant:
+        monkeypatch.setattr(suffix_dedup, constant, 1)
     rng = random.Random(4)
     line = "".join(rng.choice("abcdefgh ") for _ in range(70))
     rows = [(i, "".join(rng.choice("xyz") for _ in range(90)) + line + "".join(rng.choice("uvw") for _ in range(12 + 60 * (i % 2)))) for i in range(300)]
@@ -83,7 +88,20 @@ def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
     assert {r.doc_id: sum(x.end - x.start for x in r.runs or []) for r in out.collect()} == want
 
 
-def test_jaccard_classes_equal_brute_force(spark):
+def test_rows_that_share_an_id_but_not_a_text_keep_what_occurs_once(spark):
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choice("abcdefghij") for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, c), (None, a + "."), (3, c)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = collections.Counter((r.doc_id, r.text, bytes(r.kept).decode()) for r in out)
+    first = {(None, c, c), (None, a + ".", a + "."), (2, b, b)}
+    assert got == {**dict.fromkeys(first, 1), (2, b, b): 2, (1, a, ""): 1, (2, a, ""): 1, (3, c, ""): 1}
+
+
+@pytest.mark.parametrize(("constant", "value"), [(None, 0), ("BUCKET", 1), ("HELD", 1), ("BLOCK", 40), ("BLOCK_BYTES", 20_000)])
+def test_jaccard_classes_equal_brute_force(spark, monkeypatch, constant, value):
+    if constant:
+        monkeypatch.setattr(ngram_join, constant, value)
     rng = random.Random(9)
     rows = documents(2, 40)[:-1]
     base = rows[30][1].split() + [f"v{i}" for i in range(200)]
@@ -118,6 +136,12 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert links[1000] >= 300
 
 
+def test_centres_of_stars_are_spread(spark, monkeypatch):
+    star = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(2999, 6000), (6000, 6001)]
+    found = {r.node: r.root for r in components.connected_components(spark.createDataFrame([*star, (None, 3)], "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5041), 5000), 6000: 0, 6001: 0}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (300, 200), (300, 250)]
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -127,12 +151,13 @@ def test_components(spark):
 def test_top_k_with_ties_repeats_and_odd_vectors(spark):
     rows = [(i, [0.1 * (i % 3), 0.5, -0.25], 0) for i in range(20)] + [(0, [0.0, 0.5, -0.25], 0), (50, None, 1), (51, [1.0, None, 0.0], 1), (52, [1.0, float("nan"), 0.0], 1), (None, [1.0, 1.0, 1.0], 1), (53, [], 1), (54, [1.0], 1)]
     vectors = topk_search.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), "vec_id", "embedding")
-    out = topk_search.exact_top_k(vectors.where("id in (0, 1, 54)"), vectors, 5, cell_bytes=100).collect()
+    out = topk_search.exact_top_k(vectors.where("id in (0, 1, 54)"), vectors, 5, block_bytes=100).collect()
     own = {i: np.floor(256 * np.float32([0.1 * (i % 3), 0.5, -0.25]).astype(float)).astype(int) for i in range(20)}
     for q in (0, 1):
         want = sorted((-int(own[q] @ own[i]), i) for i in own if i != q)[:5]
         assert sorted((r["rank"], r.id, r.score) for r in out if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
     assert not [r for r in out if r.query_id == 54]
+    assert topk_search.exact_top_k(vectors.where("id < 0"), vectors).count() == 0 and topk_search.exact_top_k(vectors, vectors.where("id < 0")).count() == 0
 
 
 def test_packing_places_every_piece(spark, docs, none):
@@ -168,6 +193,9 @@ def test_bpe_round_trip(docs, none):
 def test_url_rules(spark):
     urls = ["http://a.example.net/en/x", "http://EXAMPLE.net/en/", "http://x.net/", "http://x.net", "http://example.com/de/1?q", "http://notexample.com/de/", "ftp://b.org/fr/#f", "http://b.org/en", "nothing", None, "", "http://evil.org/.example.net/en/", "http://spam-farm.example.org/x", "http://a.net?x/"]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, Rule string")
+    long = spark.createDataFrame([(1, "http://x.net/" + "a/" * 200_000)] * 2, "page_id long, url string")
+    assert {(r.rule, r.verdict, len(r.path)) for r in url_filter.filter_urls(long, URL_RULES, URL_GLOBS).collect()} == {("net/", "block", 400_001)}
+    assert url_filter.filter_urls(df.limit(0), URL_RULES, URL_GLOBS).count() == 0
     got = [(r.rule, r.verdict) for r in url_filter.filter_urls(df, URL_RULES, URL_GLOBS).orderBy("page_id").collect()]
     assert got == [("example.net/en/", "allow"), ("example.net/en/", "allow"), ("net/", "block"), (None, "allow"), ("example.com/de/", "block"), (None, "allow"), ("org/fr/", "allow")] + [(None, "allow")] * 5 + [(None, "block"), (None, "allow")]
 
@@ -175,14 +203,18 @@ def test_url_rules(spark):
 def test_secrets_are_learned(spark, none):
     rng = random.Random(3)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    rows = [(i, f'some words token = "{hexa(40)}" and more') for i in range(120)] + [(200 + i, f"version {i}.20.1 of 2024-01-{i % 28 + 1:02d} in file{i}00.txt") for i in range(120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = secret_scan.train(df)
-    test = spark.createDataFrame([(1, f'TOKEN!! =!! "{hexa(40).upper()}"!!'), (2, "version 7.20.1 of 2024-01-09"), (3, None), (4, "")], "doc_id long, text string")
-    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan_secrets(test, model).collect()}
-    assert got == {1: ["crf"], 2: [], 3: [], 4: []}
+    words = "river stone lamp green cloud under water house".split()
+    rows = [(i, " ".join(rng.choices(words, k=40)) + f'\ntoken = "{hexa(40)}" and more ' + " ".join(rng.choices(words, k=30))) for i in range(900)]
+    model = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    given = [(1, "the passphrase: correct-horse-battery-staple", 1), (2, "version 7.20.1 of 2024-01-09", 1), (3, None, 1), (4, "", 1), (5, "token=abcdef", 1), (5, "token=abcdef", 1), (6, "a river " * 20000 + "pwd: S3cr3t!x", 1)]
+    test = spark.createDataFrame(given, "doc_id long, text string, Spans int")
+    out = secret_scan.scan_secrets(test, model)
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append([(s.kind, s.start, s.end) for s in r.spans])
+    assert got == {1: [[("crf", 16, 44)]], 2: [[]], 3: [[]], 4: [[]], 5: 2 * [[("assign", 0, 12)]], 6: [[("crf", 160005, 160013)]]} and out.columns == ["doc_id", "text", "spans"]
     empty = secret_scan.train(none)
-    assert secret_scan.scan_secrets(none, empty).count() == 0 and secret_scan.all_spans("token=abcdef", empty) == [("assign", 0, 12)]
+    assert secret_scan.scan_secrets(none, empty).count() == 0 and secret_scan.all_spans("token=abcdef", secret_scan.Tagger(empty)) == [("assign", 0, 12)]
 
 
 def test_personal_data_is_found_and_redacted(spark, none):
@@ -221,6 +253,16 @@ def test_language_of_held_out_words(spark, none):
     words, marginal, _ = language_id.Labeller(model).words([text("aa") + " " + text("bb")])
     assert (marginal[:35].argmax(1) == 0).mean() > 0.9 and (marginal[45:].argmax(1) == 1).mean() > 0.9
     assert language_id.identify(test, language_id.train(none)).where("lang_pred <> 'und'").count() == 0
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ", 7), (1, "½ ² Ⅷ", 7), (2, text("aa"), 7), (3, (text("bb") + " ") * 3000, 7)], "doc_id long, text string, SCORE int")
+    out = language_id.identify(odd, model)
+    assert sorted((r.doc_id, r.lang_pred) for r in out.collect()) == [(1, "und"), (1, "und"), (2, "aa"), (3, "bb")] and "SCORE" not in out.columns
+
+
+def test_models_do_not_depend_on_how_rows_are_dealt_out(spark):
+    docs = spark.createDataFrame(documents(4, 120), SCHEMA)
+    for make in (language_id.train, pii.train, secret_scan.train):
+        a, b = make(docs.repartition(1)), make(docs.repartition(5, "text"))
+        assert repr(a) == repr(b)
 
 
 def test_media_columns(spark):
@@ -229,6 +271,13 @@ def test_media_columns(spark):
     out = media.media_columns(spark.createDataFrame(rows, "id int, media binary, WIDTH int"), size=(8, 8), tile=4).orderBy("id").collect()
     assert [r.width for r in out] == [4, 4, None, None, None] and out[0].samples == out[1].samples == image.tobytes()
     assert len(out[0].tiles) == 4 and out[0].dhash == out[1].dhash and out[3].tiles is None
+    long = media.encode_netpbm(np.tile(image, (3000, 16, 1)))
+    both = media.media_columns(spark.createDataFrame([(1, long), (1, long)], "id int, media binary")).collect()
+    assert both[0] == both[1] and both[0].height == 12000
+    assert media.media_columns(spark.createDataFrame([], "id int, media binary")).count() == 0
+    texts = spark.createDataFrame([(1, "é" * 96), (2, None), (3, "x" * 193)], "id int, text string")
+    payload = texts.select("id", media.text_payload(texts.text).alias("p")).withColumn("m", media.payload_ppm(functions.col("p")))
+    assert [(len(r.p), bytes(r.m[:13])) for r in payload.orderBy("id").collect()] == [(192, b"P6\n64 1\n255\n\xc3"), (192, b"P6\n64 1\n255\n "), (384, b"P6\n64 2\n255\nx")]
 
 
 def test_null_ids_and_empty_tables(spark, none):
