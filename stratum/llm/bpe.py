@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from stratum.llm.common import map_rows, texts
 
 #: Pretokens, halves of up to 64 bytes, and bytes of longer halves that a worker remembers.
-REMEMBER, HALVES, LONG = 500_000, 1 << 18, 16 << 20
+REMEMBER, HALVES, LONG = 300_000, 1 << 16, 16 << 20
 
 
 class ByteBpe:
@@ -32,7 +32,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pair = functools.lru_cache(1 << 18)(self._pair)
+        self.pair = functools.lru_cache(1 << 17)(self._pair)
         self.short = functools.lru_cache(HALVES)(self._halves)
         self.long: dict[bytes, tuple[int, ...]] = {}
         self.long_bytes = 0
@@ -148,8 +148,9 @@ def codec(path: str, pattern: str) -> ByteBpe:
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df with a column ids (binary): the token ids of each whole text as little-endian 32-bit numbers.
 
-    Null and empty texts have none. path names a rank file that every executor has. One pass, no shuffle; a worker keeps at
-    most REMEMBER pretokens. An input column named ids is replaced.
+    Null and empty texts have none. Rows that repeat get equal ids, an empty table gives an empty one. path names a rank file
+    that every executor has. One pass, no shuffle; a worker keeps at most REMEMBER pretokens. Time grows with a text's length
+    but for a logarithm, whatever it holds. An input column named ids, in any case, is replaced.
     """
 
     def make():
@@ -167,3 +168,18 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", kee
         return lambda column: [pa.array([None if x is None else bpe.decode(x) for x in column.to_pylist()], pa.binary())]
 
     return map_rows(df, [ids_col], T.StructType([T.StructField("decoded", T.BinaryType())]), make, keep)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """df with ids and decoded, as encode_texts() and then decode_ids() make them, in one Python process a task."""
+
+    def make():
+        bpe = codec(path, pattern)
+
+        def run(column):
+            ids = [bpe.encode(t) for t in texts(column)]
+            return [pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())]
+
+        return run
+
+    return map_rows(df, [text_col], T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]), make, keep)

@@ -70,8 +70,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode_texts(docs, *vocabulary, keep=["doc_id"])
-    out = bpe.decode_ids(ids, *vocabulary)
+    out = bpe.round_trip(docs, *vocabulary, keep=["doc_id"])
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -188,6 +188,9 @@ def test_bpe_round_trip(docs, none):
     assert out.columns == ["doc_id", "text", "source", "n_chars", "ids", "decoded"]
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in out.collect())
     assert bpe.encode_texts(none, *vocabulary).count() == 0
+    both = bpe.round_trip(docs.withColumnRenamed("lang", "Decoded"), *vocabulary)
+    assert both.columns == ["doc_id", "text", "source", "n_chars", "ids", "decoded"]
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in both.collect()) == sorted((r.doc_id, r.ids, r.decoded) for r in out.collect())
 
 
 def test_url_rules(spark):
