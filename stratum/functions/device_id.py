@@ -1,10 +1,9 @@
-"""Device ids as text: base 32 with a check character for each thirteen, in groups of seven. The one Arrow UDF of the library."""
+"""Device ids as text: base 32 with a check character for each thirteen, in groups of seven. Columns are built-in expressions."""
 
 from __future__ import annotations
 
 import base64
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,21 +41,52 @@ def parse_device_id(text: str) -> tuple[bytes | None, str | None]:
     return base64.b32decode("".join(g[:13] for g in groups) + "===="), None
 
 
-def device_id_text(raw: Column) -> Column:
-    """Text of a binary column of 32 bytes; null for null and for other lengths."""
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    @F.pandas_udf("string")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: format_device_id(bytes(v)) if v is not None and len(v) == 32 else None)
 
-    return convert(raw)
+def _each(n: int, body) -> Column:
+    """The texts body(0) to body(n - 1), joined; null if one of them is."""
+    made = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), body)
+    return F.when(F.forall(made, lambda x: x.isNotNull()), F.array_join(made, ""))
 
 
-def device_id_bytes(text: Column) -> Column:
-    """Struct (raw, error) of a text column; both null for null."""
+def check_sign(group: Column) -> Column:
+    """The Luhn character, modulo 32, of a group of thirteen signs; null if a sign is none."""
+
+    def add(total: Column, i: Column) -> Column:
+        sign = F.substring(group, i + 1, F.lit(1))
+        value = (F.ascii(sign) - F.when(sign < "A", 24).otherwise(65)) * (1 + i % 2)  # A to Z are 0 to 25, 2 to 7 are 26 to 31
+        return (total + F.floor(value / 32) + value % 32).cast("int")
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0), add)
+    return F.when(group.rlike(f"^[{ALPHABET}]{{13}}$"), F.substring(F.lit(ALPHABET), F.pmod(-total, F.lit(32)) + 1, F.lit(1)))
 
-    @F.pandas_udf("raw binary, error string")
-    def convert(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if v is None else parse_device_id(v) for v in values], columns=["raw", "error"])
 
-    return convert(text)
+def device_id_text(raw: Column) -> Column:
+    """Text of a binary column of 32 bytes; null for null and for other lengths. Five hex digits, 20 bits, make four signs."""
+    digits = F.when(F.octet_length(raw) == 32, F.rpad(F.hex(raw), 65, "0"))
+    signs = _let(digits, lambda d: _each(13, lambda i: F.lpad(F.conv(F.substring(d, 5 * i + 1, F.lit(5)), 16, 32), 4, "0")))
+    signs = F.translate(signs, "0123456789ABCDEFGHIJKLMNOPQRSTUV", ALPHABET)
+    full = _let(signs, lambda t: _each(4, lambda i: _let(F.substring(t, 13 * i + 1, F.lit(13)), lambda g: F.concat(g, check_sign(g)))))
+    return F.rtrim(_let(full, lambda t: _each(8, lambda i: F.concat(F.substring(t, 7 * i + 1, F.lit(7)), F.lit("-")))), F.lit("-"))
+
+
+def device_id_bytes(text: Column) -> Column:
+    """Struct (raw, error) of a text column; both null for null. Errors as parse_device_id() gives them."""
+
+    def rule(group: Column) -> Column:
+        own = F.substring(group, 1, 13)
+        return F.when(~own.rlike(f"^[{ALPHABET}]{{13}}$"), "character").when(check_sign(own) != F.substring(group, 14, 1), "check digit")
+
+    def parse(bare: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring(bare, 14 * i + 1, F.lit(14)))
+        first = F.get(F.filter(F.transform(groups, rule), lambda e: e.isNotNull()), F.lit(0))
+        signs = F.translate(F.array_join(F.transform(groups, lambda g: F.substring(g, 1, 13)), ""), ALPHABET, "0123456789ABCDEFGHIJKLMNOPQRSTUV")
+        digits = _let(signs, lambda t: _each(13, lambda i: F.lpad(F.conv(F.substring(t, 4 * i + 1, F.lit(4)), 32, 16), 5, "0")))
+        error = F.when(F.length(bare) != 56, "length").otherwise(first)
+        return _let(error, lambda e: F.struct(F.when(e.isNull(), F.unhex(F.substring(digits, 1, 64))).alias("raw"), e.alias("error")))
+
+    nothing = F.struct(F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("string").alias("error"))
+    return F.when(text.isNull(), nothing).otherwise(_let(F.upper(F.replace(text, F.lit("-"), F.lit(""))), parse))

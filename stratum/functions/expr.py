@@ -11,6 +11,11 @@ FIRST_BLOCKSEQ = 1024
 BLOCKSEQ_RESERVE = 256
 MAX_BLOCK = 16 << 20
 HASH_HEX = 64
+# fixed values: kinds of errors
+TRANSIENT = ("transient_io", "network_error")
+FATAL = ("corruption", "internal", "unsupported_version")
+PEER_FAULT = ("peer_bad_hello", "peer_bad_message", "peer_error")
+HASH_PATTERN = "^[0-9a-f]{64}$"
 
 
 def dirname(name: Column) -> Column:
@@ -140,6 +145,40 @@ def modified_nanos(ns: Column) -> Column:
     return F.greatest(ns, F.lit(0))
 
 
+def expiry(modified: Column, duration_s: Column) -> Column:
+    """Microseconds of a time of expiry; the greatest long where the sum is beyond it."""
+    top = F.lit(2**63 - 1)
+    wide = modified.cast("decimal(38,0)") + duration_s.cast("decimal(38,0)") * 1_000_000
+    return F.when(wide > top, top).otherwise(wide.cast("long"))
+
+
+def modified_time(seconds: Column, ns: Column) -> Column:
+    """Microseconds since the epoch of a file's time, negative nanoseconds counting as 0; null beyond what a timestamp holds."""
+    wide = seconds.cast("decimal(38,0)") * 1_000_000 + F.floor(F.greatest(ns, F.lit(0)) / 1000)
+    return F.when(F.abs(wide) <= 2**63 - 1, wide.cast("long"))
+
+
+def error_class(error: Column) -> Column:
+    """What an error means for a connection: transient (tried again), fatal (the process ends), peer (its fault) or other."""
+    return F.when(error.isin(*TRANSIENT), "transient").when(error.isin(*FATAL), "fatal").when(error.isin(*PEER_FAULT), "peer").otherwise("other")
+
+
+def protocol_error(error: Column) -> Column:
+    """The protocol's error for one of the storage: what is missing counts as corrupt, bad input as a bad message."""
+    return F.when(error == "not_found", "corruption").when(error == "invalid_input", "peer_bad_message").otherwise(error)
+
+
+def answer_code(error: Column) -> Column:
+    """The code with which a request is answered after a storage error; null is none."""
+    return F.when(error.isNull(), "NO_ERROR").when(error == "not_found", "NO_SUCH_FILE").otherwise("GENERIC")
+
+
+def seek(position: Column, size: Column, whence: Column, offset: Column) -> Column:
+    """Where a file handle stands after a seek from start, end or current; null for a place before the start."""
+    target = F.when(whence == "start", offset).when(whence == "end", size + offset).otherwise(position + offset)
+    return F.when(target >= 0, target)
+
+
 def truthy(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("1", "true", "on", "yes", "y")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import expr
@@ -40,24 +40,61 @@ def blocks_to_fetch(needed: DataFrame, canonical: DataFrame, below: int = expr.I
     return joined.where(F.col("known").isNull() | expr.is_inline(F.col("size"), below)).select("folder", "hash")
 
 
-def resolve_blocks(blocks: DataFrame, ptrs: DataFrame, data: DataFrame, below: int = expr.INLINE_BELOW) -> DataFrame:
-    """(folder, name, block_no, hash, size, source, stored_size, stored_hash): inline, stored, or dangling.
+def digests(data: DataFrame) -> DataFrame:
+    """(folder, blockseq, stored_size, stored_hash): payloads reduced to numbers before any join."""
+    return data.select("folder", "blockseq", F.octet_length("data").alias("stored_size"), F.sha2(F.col("data").cast("binary"), 256).alias("stored_hash"))
 
-    Plans on hashes and numbers; payloads are reduced to length and digest before any join.
-    """
-    lean = data.select("folder", "blockseq", F.octet_length("data").alias("stored_size"), F.sha2(F.col("data").cast("binary"), 256).alias("stored_hash"))
-    own = blocks.withColumn("dir", expr.dirname(F.col("name"))).join(ptrs, ["folder", "dir", "hash"], "left").join(lean, ["folder", "blockseq"], "left")
-    inline = expr.is_inline(F.col("size"), below)
-    source = F.when(inline, "inline").when(F.col("stored_size").isNotNull(), "stored").otherwise("dangling")
-    return own.select(
-        "folder", "name", "block_no", "hash", "size", "deleted", source.alias("source"),
-        F.when(inline, F.col("size")).otherwise(F.col("stored_size")).alias("stored_size"), F.when(inline, F.col("hash")).otherwise(F.col("stored_hash")).alias("stored_hash"),
+
+def resolve_blocks(blocks: DataFrame, data: DataFrame) -> DataFrame:
+    """(folder, name, block_no, hash, size, deleted, is_inline, source, stored_size, stored_hash), the way readers resolve:
+    the row's inline data first, then the payload of the row's number; invalid if that is too low, dangling without payload."""
+    inline = F.col("inline_data").isNotNull()
+    lean = blocks.select(
+        "folder", "name", "block_no", "hash", "size", "deleted", "blockseq", inline.alias("is_inline"),
+        F.octet_length("inline_data").alias("inline_size"), F.sha2(F.col("inline_data").cast("binary"), 256).alias("inline_hash"),
     )
+    own = lean.join(digests(data), ["folder", "blockseq"], "left")
+    low = F.col("blockseq") < expr.FIRST_BLOCKSEQ
+    source = F.when(F.col("is_inline"), "inline").when(low, "invalid").when(F.col("stored_size").isNotNull(), "stored").otherwise("dangling")
+    return own.withColumn("source", source).select(
+        "folder", "name", "block_no", "hash", "size", "deleted", "is_inline", "source",
+        F.when(F.col("is_inline"), F.col("inline_size")).when(~low, F.col("stored_size")).alias("stored_size"),
+        F.when(F.col("is_inline"), F.col("inline_hash")).when(~low, F.col("stored_hash")).alias("stored_hash"),
+    )
+
+
+def read_block(blocks: DataFrame, data: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(folder, name, hash, bytes, error) for wanted (folder, name, hash): of the file's blocks of that hash the first that
+    can be resolved; error says which of the rules hash length and not found applies."""
+    found = blocks.join(wanted.select("folder", "name", "hash").distinct(), ["folder", "name", "hash"])
+    held = _with_bytes(found, data).where(F.col("bytes").isNotNull())
+    first = held.groupBy("folder", "name", "hash").agg(F.min_by("bytes", "block_no").alias("bytes"))
+    error = F.when(F.length("hash") != expr.HASH_HEX, "hash length").when(F.col("bytes").isNull(), "not found")
+    out = wanted.select("folder", "name", "hash").join(first, ["folder", "name", "hash"], "left")
+    return out.select("folder", "name", "hash", F.when(error.isNull(), F.col("bytes")).alias("bytes"), error.alias("error"))
+
+
+def _with_bytes(blocks: DataFrame, data: DataFrame) -> DataFrame:
+    """Blocks with what they resolve to: inline data, else the payload of a valid number, else null."""
+    own = blocks.join(data.select("folder", "blockseq", F.col("data").cast("binary").alias("payload")), ["folder", "blockseq"], "left")
+    stored = F.when(F.col("blockseq") >= expr.FIRST_BLOCKSEQ, F.col("payload"))
+    return own.withColumn("bytes", F.coalesce(F.col("inline_data").cast("binary"), stored)).drop("payload")
+
 
+def has_block(wanted: DataFrame, refs: DataFrame, known: list[DataFrame] | None = None) -> DataFrame:
+    """Wanted (folder, hash) that some file refers to and that every sweep under way knows to be live.
+
+    known: for each sweep under way the (folder, hash) it keeps, blocks written since it began included.
+    """
+    out = wanted.join(refs, ["folder", "hash"], "left_semi")
+    for live in known or []:
+        out = out.join(live, ["folder", "hash"], "left_semi")
+    return out
 
-def has_block(wanted: DataFrame, refs: DataFrame) -> DataFrame:
-    """Wanted (folder, hash) that some file refers to."""
-    return wanted.join(refs, ["folder", "hash"], "left_semi")
+
+def has_inline_block(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Wanted (folder, name, hash) that the file's own row holds inline."""
+    return wanted.join(blocks.where(F.col("inline_data").isNotNull()), ["folder", "name", "hash"], "left_semi")
 
 
 def live_blocks(blocks: DataFrame, ptrs: DataFrame) -> DataFrame:
@@ -82,15 +119,23 @@ def range_plan(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     return hit.select("folder", "name", "block_no", "hash", skip.cast("long").alias("skip"), (F.least(end - F.col("offset"), F.col("size").cast("long")) - skip).cast("long").alias("take"))
 
 
-def read_range(blocks: DataFrame, requests: DataFrame) -> DataFrame:
-    """(folder, name, bytes) of byte ranges; blocks must carry the column chunk. One row a request, its size is the caller's."""
-    plan = range_plan(blocks, requests).join(blocks.select("folder", "name", "block_no", "chunk"), ["folder", "name", "block_no"])
-    piece = F.struct("block_no", F.substring(F.col("chunk").cast("binary"), F.col("skip").cast("int") + 1, F.col("take").cast("int")).alias("piece"))
-    joined = F.aggregate(F.array_sort(F.collect_list(piece)), F.lit(b""), lambda a, p: F.concat(a, p["piece"]))
-    return plan.groupBy("folder", "name").agg(joined.alias("bytes"))
-
+def read_range(files: DataFrame, blocks: DataFrame, data: DataFrame, requests: DataFrame) -> DataFrame:
+    """(folder, name, start, length, bytes, error) of byte ranges, clamped to the file; one row a request.
 
-def first_in_folder(blocks: DataFrame) -> DataFrame:
-    """Which block of which file is the first with its hash, by (name key, block number)."""
-    w = Window.partitionBy("folder", "hash").orderBy(expr.name_key(F.col("name")), "block_no")
-    return blocks.withColumn("place", F.row_number().over(w)).where("place = 1").select("folder", "hash", "name", "block_no")
+    error: not found (no such file, or deleted), or short block (one that cannot be resolved or is shorter than declared);
+    bytes are null then. Payloads meet only blocks that a range touches.
+    """
+    asked = requests.select("folder", "name", "start", "length").distinct()
+    live = files.where(~F.col("deleted")).select("folder", "name", F.lit(True).alias("there"))
+    end = F.least(F.col("start") + F.col("length"), F.col("file_size"))
+    hit = blocks.where(~F.col("deleted")).join(asked, ["folder", "name"]).where((F.col("offset") < end) & (F.col("offset") + F.col("size") > F.col("start")))
+    skip = F.greatest(F.col("start") - F.col("offset"), F.lit(0)).cast("int")
+    take = (F.least(end - F.col("offset"), F.col("size").cast("long")) - skip).cast("int")
+    held = _with_bytes(hit, data)
+    short = F.coalesce(F.octet_length("bytes") < F.col("size"), F.lit(True))
+    piece = F.struct("block_no", F.substring(F.col("bytes"), skip + 1, take).alias("piece"))
+    joined = F.aggregate(F.array_sort(F.collect_list(piece)), F.lit(b""), lambda a, p: F.concat(a, p["piece"]))
+    read = held.withColumn("short", short).groupBy("folder", "name", "start", "length").agg(joined.alias("bytes"), F.bool_or("short").alias("short"))
+    out = asked.join(live, ["folder", "name"], "left").join(read, ["folder", "name", "start", "length"], "left")
+    error = F.when(F.col("there").isNull(), "not found").when(F.col("short"), "short block")
+    return out.select("folder", "name", "start", "length", F.when(error.isNull(), F.coalesce("bytes", F.lit(b""))).alias("bytes"), error.alias("error"))

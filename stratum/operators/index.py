@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.operators.numbering import numbered
+
 
 def full_index(files: DataFrame) -> DataFrame:
     """Every row, deleted ones included."""
@@ -12,7 +14,12 @@ def full_index(files: DataFrame) -> DataFrame:
 
 
 def delta_index(files: DataFrame, seqs: DataFrame, since: int) -> DataFrame:
-    """Rows whose sequence number follows `since`, by the sequence index; entries whose file is missing are passed over."""
+    """Rows whose sequence number follows `since`, by the sequence index; entries whose file is missing are passed over.
+
+    OverflowError if no number can follow.
+    """
+    if not 0 <= since < 2**63 - 1:
+        raise OverflowError(f"no sequence follows {since}")
     return seqs.where(F.col("seq") > since).join(files, ["folder", "name"])
 
 
@@ -65,3 +72,54 @@ def remote_state(peers: DataFrame, wanted: DataFrame) -> DataFrame:
 def last_write(states: DataFrame) -> DataFrame:
     """The state that arrived last for each (folder, device), not the greatest."""
     return states.groupBy("folder", "device").agg(F.max_by("max_sequence", "arrival").alias("max_sequence"))
+
+
+def point_get(table: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Wanted keys with their rows; `found` is false where there is none."""
+    return wanted.join(table.withColumn("found", F.lit(True)), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def folder_state(folders: DataFrame, meta: DataFrame) -> DataFrame:
+    """Counters of folders; zero where nothing has been recorded."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return folders.join(meta, "folder", "left").select("folder", zero("max_sequence"), zero("next_blockseq"))
+
+
+def resolve_folders(registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, storage_key, label, error) of wanted folder ids."""
+    out = wanted.join(registry, "id", "left")
+    return out.select("id", "storage_key", "label", F.when(F.col("storage_key").isNull(), "not found").alias("error"))
+
+
+def register_folders(registry: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(id, label, key, error): the next numbers, by id, for folders that are proposed (id, label) once and not known;
+    others are duplicates and get none. registry has the number of each folder as key."""
+    once = proposed.groupBy("id").agg(F.min("label").alias("label"), F.count("*").alias("n"))
+    known = registry.select("id", F.lit(True).alias("known"))
+    judged = once.join(known, "id", "left").withColumn("bad", F.coalesce("known", F.lit(False)) | (F.col("n") > 1))
+    high = registry.agg(F.coalesce(F.max("key") + 1, F.lit(0)).alias("high"))
+    placed = numbered(judged.where("NOT bad").withColumn("one", F.lit(0)), "one", F.substring("id", 1, 2), ["id"]).crossJoin(F.broadcast(high))  # one row
+    fresh = placed.select("id", "label", (F.col("high") + F.col("place") - 1).cast("long").alias("key"), F.lit(None).cast("string").alias("error"))
+    return fresh.unionByName(judged.where("bad").select("id", "label", F.lit(None).cast("long").alias("key"), F.lit("duplicate").alias("error")))
+
+
+def without_folders(table: DataFrame, removed: DataFrame) -> DataFrame:
+    """A table of any record class without the rows of removed folders."""
+    return table.join(removed.select("folder").distinct(), "folder", "left_anti")
+
+
+def idle(files: DataFrame, *waiting: DataFrame) -> DataFrame:
+    """(folder, name) of files for which no request is pending or deferred."""
+    for rows in waiting:
+        files = files.join(rows, ["folder", "name"], "left_anti")
+    return files.select("folder", "name")
+
+
+def labels_in_order(listed: DataFrame) -> DataFrame:
+    """Labels of (label, position) once each, with the position where each was first seen."""
+    return listed.groupBy("label").agg(F.min("position").alias("position"))
+
+
+def updates_to_send(files: DataFrame, committed: DataFrame) -> DataFrame:
+    """Index updates of one file each, for rows that a batch committed: the row's sequence is the last, nothing precedes."""
+    return committed.join(files, ["folder", "name"]).select("folder", "name", F.col("sequence").alias("last_sequence"), F.lit(0).cast("long").alias("prev_sequence"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import expr
+from stratum.operators.numbering import arrival_bucket, hash_bucket, numbered
 
 
 def inbox_last_write(inbox: DataFrame) -> DataFrame:
@@ -27,8 +28,8 @@ def commit_upsert(files: DataFrame, updates: DataFrame) -> DataFrame:
     Unchanged rows keep theirs. The old row of a committed name goes, which is an anti join.
     """
     high = files.groupBy("folder").agg(F.max("sequence").alias("high"))
-    place = F.row_number().over(Window.partitionBy("folder").orderBy("arrival", "name"))
-    fresh = updates.withColumn("place", place).join(high, "folder", "left").select("folder", "name", (F.coalesce("high", F.lit(0)) + F.col("place")).alias("sequence"), F.lit(True).alias("committed"))
+    placed = numbered(updates.select("folder", "name", "arrival"), "folder", arrival_bucket(F.col("arrival")), ["arrival", "name"])
+    fresh = placed.join(high, "folder", "left").select("folder", "name", (F.coalesce("high", F.lit(0)) + F.col("place")).alias("sequence"), F.lit(True).alias("committed"))
     kept = files.join(updates.select("folder", "name"), ["folder", "name"], "left_anti").select("folder", "name", "sequence", F.lit(False).alias("committed"))
     return kept.unionByName(fresh)
 
@@ -39,9 +40,9 @@ def expired_inbox(inbox: DataFrame, current_epoch: int) -> DataFrame:
 
 def assign_blockseqs(new_hashes: DataFrame, meta: DataFrame) -> DataFrame:
     """(folder, hash, blockseq): numbers for new hashes from the folder's next one on, 1024 at least, in hash order."""
-    place = F.row_number().over(Window.partitionBy("folder").orderBy("hash"))
     first = F.greatest(F.coalesce("next_blockseq", F.lit(0)), F.lit(expr.FIRST_BLOCKSEQ))
-    return new_hashes.select("folder", "hash").distinct().withColumn("place", place).join(meta.select("folder", "next_blockseq"), "folder", "left").select("folder", "hash", (first + F.col("place") - 1).alias("blockseq"))
+    placed = numbered(new_hashes.select("folder", "hash").distinct(), "folder", hash_bucket(F.col("hash")), ["hash"])
+    return placed.join(meta.select("folder", "next_blockseq"), "folder", "left").select("folder", "hash", (first + F.col("place") - 1).alias("blockseq"))
 
 
 def reserved_blockseq(assigned: DataFrame, meta: DataFrame) -> DataFrame:
@@ -79,3 +80,29 @@ def request_codes(requests: DataFrame, files: DataFrame) -> DataFrame:
     live = files.where(~F.col("deleted")).select("folder", "name", F.lit(True).alias("found"))
     code = F.when((F.col("offset") < 0) | (F.col("length") < 0), "GENERIC").when(F.col("found").isNull(), "NO_SUCH_FILE").otherwise("NO_ERROR")
     return requests.join(live, ["folder", "name"], "left").select("id", code.alias("code"))
+
+
+def in_flight(requests: DataFrame, cap: int = 16) -> DataFrame:
+    """Requests (device, arrival, id, …) of a connection with their state: the first `cap` (1 at least) in the order of
+    arrival are in flight, the others wait. A connection's open requests are few; each is ranked in its own window."""
+    place = F.row_number().over(Window.partitionBy("device").orderBy("arrival", "id"))
+    return requests.withColumn("state", F.when(place <= max(1, cap), "in flight").otherwise("deferred"))
+
+
+def free_ids(wanted: DataFrame, taken: DataFrame, first: int = 1) -> DataFrame:
+    """wanted (device, arrival) with ids: the least from `first` on that the device has not in flight, by arrival.
+
+    Of n wanted and m taken ids the least n + m numbers hold n free ones, so candidates are a sequence of that length.
+    """
+    n = wanted.groupBy("device").agg(F.count("*").alias("n"))
+    m = taken.groupBy("device").agg(F.count_distinct("id").alias("m"))
+    span = n.join(m, "device", "left").withColumn("top", F.lit(first) + F.col("n") + F.coalesce("m", F.lit(0)) - 1)
+    candidates = span.select("device", F.explode(F.sequence(F.lit(first).cast("long"), F.col("top").cast("long"))).alias("id"))
+    free = candidates.join(taken.select("device", "id").distinct(), ["device", "id"], "left_anti")
+    free = numbered(free, "device", F.shiftright("id", 16), ["id"])
+    return numbered(wanted, "device", arrival_bucket(F.col("arrival")), ["arrival"]).join(free, ["device", "place"]).select("device", "arrival", "id")
+
+
+def current_connections(connections: DataFrame) -> DataFrame:
+    """Of the connections (device, connected, id) of each device the latest, which replaces the others."""
+    return connections.groupBy("device").agg(F.max_by("id", F.struct("connected", "id")).alias("id"))

@@ -65,8 +65,9 @@ def parse_paths(paths: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 
 def read_dir(files: DataFrame, directory: str) -> DataFrame:
-    """Immediate children of a directory: live files, and each directory below it once."""
-    inside = files.where(~F.col("deleted")).withColumn("rest", expr.relative_under(directory, F.col("name"))).where(F.col("rest").isNotNull())
+    """Immediate children of a directory: live files, and each directory below it once. The prefix reaches the scan."""
+    below = files.where(F.startswith("name", F.lit(directory + "/"))) if directory else files
+    inside = below.where(~F.col("deleted")).withColumn("rest", expr.relative_under(directory, F.col("name"))).where(F.col("rest").isNotNull())
     nested = F.contains("rest", F.lit("/"))
     entry = F.substring_index("rest", "/", 1)
     return inside.groupBy("folder", entry.alias("entry")).agg(F.max(nested).alias("is_dir"), F.max(F.when(~nested, F.col("size"))).alias("size"))
@@ -91,3 +92,16 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = (df.where(~F.col("deleted")).select("folder", "name", F.col("sequence").alias(s)) for df, s in ((before, "s0"), (after, "s1")))
     change = F.when(F.col("s0").isNull(), "added").when(F.col("s1").isNull(), "removed").when(F.col("s0") != F.col("s1"), "changed")
     return b.join(a, ["folder", "name"], "full_outer").select("folder", "name", change.alias("change")).where(F.col("change").isNotNull())
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """What a file system shows of live rows: folder, path, kind, size (0 for directories and links), modified (microseconds)."""
+    kind = F.lower("type")
+    size = F.when(kind == "file", F.col("size")).otherwise(F.lit(0)).cast("long")
+    return files.where(~F.col("deleted")).select("folder", F.col("name").alias("path"), kind.alias("kind"), size.alias("size"), expr.modified_time(F.col("modified_s"), F.col("modified_ns")).alias("modified"))
+
+
+def schedules_after(schedules: DataFrame, upserts: DataFrame, removed: DataFrame) -> DataFrame:
+    """Schedules (interval_s, ttl_s) after some are set and others removed, by interval."""
+    kept = schedules.join(upserts, "interval_s", "left_anti").unionByName(upserts.select(*schedules.columns))
+    return kept.join(removed, "interval_s", "left_anti")

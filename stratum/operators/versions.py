@@ -24,15 +24,19 @@ def conflict_winners(local: DataFrame, remote: DataFrame, local_device: int = 0)
 
 
 def apply_update_outcome(files: DataFrame, updates: DataFrame, same_blocks) -> DataFrame:
-    """Decision for each update: NeedBlocks, NoAction, Concurrent, Applied or InvalidInput.
+    """Decision for each update: InvalidInput, NeedBlocks, NoAction, Concurrent or Applied.
 
-    One join on (folder, name). same_blocks is a condition over the joined row; its columns may come from either side.
-    A batch that names a file twice must be folded in arrival order instead, see stratum.streaming.ingest.
+    Names are checked first, then the block list (where updates have columns blocks and size), then versions. One join on
+    (folder, name). same_blocks is a condition over the joined row; its columns may come from either side. A batch that
+    names a file twice must be folded in arrival order instead, see stratum.streaming.ingest.
     """
     mine = files.select("folder", "name", F.col("version").alias("local_version"), *[F.col(c).alias(f"local_{c}") for c in files.columns if c in ("blocks", "digest")])
     relation = expr.vv_compare(F.col("local_version"), F.col("version"))
+    invalid = expr.name_error(F.col("name")).isNotNull()
+    if {"blocks", "size"} <= set(updates.columns):
+        invalid = invalid | expr.block_list_error(F.col("size"), F.col("blocks")).isNotNull()
     outcome = (
-        F.when(expr.name_error(F.col("name")).isNotNull(), "InvalidInput")
+        F.when(invalid, "InvalidInput")
         .when(F.col("local_version").isNull() | F.col("version").isNull(), "NeedBlocks")
         .when(relation.isin("Greater", "Equal"), "NoAction")
         .when(relation == "Concurrent", "Concurrent")

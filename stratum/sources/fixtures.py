@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import expr
+from stratum.operators.numbering import hash_bucket, numbered
 
 #: Here blocks below 512 bytes are inline, so that both ways of keeping blocks occur.
 INLINE, CHUNK, EPOCH = 512, 1024, 3
@@ -35,17 +36,42 @@ def files(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
-    """One row a block of 1024 characters, with its offset in bytes."""
+    """One row a block of 1024 characters, with its offset in bytes. Texts are cut first and the pieces exploded, so that no
+    row carries more than its piece."""
     source = files(spark, sf_dir, text=True)
     count = F.ceil(F.length("text") / CHUNK).cast("int")
-    number = F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("block_no")
-    out = source.select("folder", "name", "doc_id", "deleted", "text", F.col("size").alias("file_size"), number)
-    out = out.withColumn("chunk", F.substring(F.col("text"), F.col("block_no") * CHUNK + 1, F.lit(CHUNK))).drop("text")
+    pieces = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda i: F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)))
+    out = source.select("folder", "name", "doc_id", "deleted", F.col("size").alias("file_size"), F.posexplode(pieces).alias("block_no", "chunk"))
     before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("chunk")
-    out = out.withColumns({"hash": F.sha2("chunk", 256), "size": size.cast("int")})
-    out = out.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
-    return out if payload else out.drop("chunk")
+    out = out.withColumns({"hash": F.sha2("chunk", 256), "size": F.octet_length("chunk").cast("int")})
+    out = out if payload else out.drop("chunk")
+    return out.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+
+
+def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as file rows have them: small ones with their data, others with their number.
+
+    Faults by hash: b1 wrong inline data, b2 neither data nor number, d7 a number without payload, d8 one too low.
+    """
+    starts = lambda h: F.startswith("hash", F.lit(h))
+    all_ = blocks(spark, sf_dir, payload=True).join(block_numbers(spark, sf_dir), ["folder", "hash"], "left")
+    inline = F.when(expr.is_inline(F.col("size"), INLINE) & ~starts("b2"), F.concat("chunk", F.when(starts("b1"), "!").otherwise("")).cast("binary"))
+    number = F.when(starts("d8"), F.lit(7)).when(starts("d7"), F.col("blockseq") + 10_000_000).otherwise(F.col("blockseq"))
+    stored = F.when(~expr.is_inline(F.col("size"), INLINE), number).cast("long")
+    return all_.withColumns({"inline_data": inline, "blockseq": stored}).drop("chunk")
+
+
+def file_rows(spark: SparkSession, sf_dir: str, bare: bool = False) -> DataFrame:
+    """Files with their blocks as a list; bare ones have neither data nor numbers, as a peer announces them."""
+    entry = F.struct("block_no", "hash", "offset", "size", "blockseq", "inline_data")
+    lists = file_blocks(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+
+    def plain(b: Column) -> Column:
+        seq, inline = (F.lit(None).cast("long"), F.lit(None).cast("binary")) if bare else (b["blockseq"], b["inline_data"])
+        return F.struct(b["hash"].alias("hash"), b["offset"].alias("offset"), b["size"].alias("size"), seq.alias("blockseq"), inline.alias("inline_data"))
+
+    none = F.expr("from_json('[]', 'array<struct<hash:string,offset:bigint,size:int,blockseq:bigint,inline_data:binary>>')")
+    return files(spark, sf_dir).join(lists, "doc_id", "left").withColumn("blocks", F.coalesce(F.transform("listed", plain), none)).drop("listed")
 
 
 def block_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +92,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
-    folder = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (user % 4 + 1).cast("int"))
-    out = table(spark, sf_dir, "events").groupBy(folder.alias("folder"), (user % 12).alias("device")).agg(F.max("event_id").alias("max_sequence"))
+    out = table(spark, sf_dir, "events").groupBy(_event_folder(), (user % 12).alias("device")).agg(F.max("event_id").alias("max_sequence"))
     return out.withColumn("max_sequence", F.when(F.col("device") == 6, 0).otherwise(F.col("max_sequence")).cast("long"))
 
 
@@ -93,9 +118,9 @@ def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(folder, hash, blockseq): distinct blocks in the order of their hashes."""
-    place = F.row_number().over(Window.partitionBy("folder").orderBy("hash"))
     distinct = stored_blocks(spark, sf_dir).select("folder", "hash").distinct()
-    return distinct.withColumn("blockseq", (place + expr.FIRST_BLOCKSEQ - 1).cast("long"))
+    placed = numbered(distinct, "folder", hash_bucket(F.col("hash")), ["hash"])
+    return placed.select("folder", "hash", (F.col("place") + expr.FIRST_BLOCKSEQ - 1).alias("blockseq"))
 
 
 def block_ptrs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +141,12 @@ def block_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.join(block_numbers(spark, sf_dir), ["folder", "hash"]).select("folder", "blockseq", "hash", "data")
 
 
+def folder_of_user() -> Column:
+    return F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("user_id") % 4 + 1).cast("int"))
+
+
 def _event_folder() -> Column:
-    return F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("user_id") % 4 + 1).cast("int")).alias("folder")
+    return folder_of_user().alias("folder")
 
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +164,11 @@ def now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on the lock of a folder and hour, one an event; epochs follow the events."""
     event, user = F.col("event_id"), F.col("user_id")
     late = F.make_dt_interval(hours=F.when(event % 11 == 0, 2).otherwise(0))
-    return table(spark, sf_dir, "events").where(event < 50).select(
-        event.alias("epoch"), F.concat(F.lit("h"), (user % 5).cast("string")).alias("holder"), (user % 3).alias("priority"),
+    lock = F.concat(folder_of_user(), F.lit("@"), F.date_format("ts", "yyyy-MM-dd HH")).alias("lock")
+    return table(spark, sf_dir, "events").select(
+        lock, event.alias("epoch"), F.concat(F.lit("h"), (user % 5).cast("string")).alias("holder"), (user % 3).alias("priority"),
         (60 * (1 + event % 5)).alias("duration_s"), (F.col("ts").cast("timestamp") + late).alias("last_modified"),
     )
