@@ -16,6 +16,7 @@ import math
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -38,7 +39,7 @@ O, B, I = range(3)
 FORBIDDEN = np.array([[False, False, True], [False, False, False], [False, False, False]])  # outside never before inside
 #: Places whose words count for a token: itself, those before, those after.
 PLACES = (0, -1, -2, -3, -4, 1, 2)
-REMEMBER = 300_000
+REMEMBER = 500_000
 SPANS = T.StructType([T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
 _DIGITS, _UPPER, _LOWER = (set(x) for x in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
@@ -57,13 +58,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- features ---
 
 
+def is_word(bare: str) -> bool:
+    """Letters, small but for the first, as nearly all tokens are."""
+    return 2 <= len(bare) <= 20 and bare.isalpha() and bare[1:].islower()
+
+
 def own_features(token: str) -> list[str]:
     """Shape and letters of a token."""
     bare = token.rstrip(EDGE)
     n = len(bare)
     if n < 2:
         return ["bias", "w=" + token.lower()]
-    if n <= 20 and bare.isalpha() and bare[1:].islower():  # a word, as nearly all tokens are
+    if is_word(bare):
         return ["bias", "w=" + bare.lower(), f"word={n // 4}", f"word,capital={bare[0].isupper()}"]
     kinds = (bool(set(bare) & _UPPER), bool(set(bare) & _LOWER), bool(set(bare) & _DIGITS))
     digits = sum(c in _DIGITS for c in bare)
@@ -207,36 +213,38 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_
 def fit_lines(lines: list[tuple[str, list[tuple[int, int]]]]) -> dict:
     """The field of lines whose secrets are known."""
     rng = random.Random(7)
-    chains, gold = [], []
+    numbers: dict[str, int] = {}  # features in the order they are met; those met once go in the end
+    flat, sizes, gold, lengths = array("i"), [], [], []
     for line, secrets in lines:
-        spans = [(m.start(), m.start() + len(m[0].rstrip(EDGE) or m[0])) for m in TOKEN.finditer(line)]
-        tokens = [m[0] for m in TOKEN.finditer(line)]
-        if not tokens:
+        found = list(TOKEN.finditer(line))
+        if not found:
             continue
-        labels, last = [], None
-        for s, e in spans:
-            inside = next((x for x in secrets if x[0] < e and s < x[1]), None)
-            labels.append(O if inside is None else I if inside == last else B)
+        tokens, last = [m[0] for m in found], None
+        for m in found:
+            start, end = m.start(), m.start() + len(m[0].rstrip(EDGE) or m[0])
+            inside = next((x for x in secrets if x[0] < end and start < x[1]), None)
+            gold.append(O if inside is None else I if inside == last else B)
             last = inside
+        lengths.append(len(tokens))
         near, page, hide = [word_features(t) for t in tokens], file_features(line), rng.random() < 1 / 3
-        chain = []
         for i, t in enumerate(tokens):
             feats = ["0" + f for f in own_features(t)] + page
             for d in () if hide else PLACES[1:]:
                 if 0 <= i + d < len(tokens):
                     feats += [f"{d}{f}" for f in near[i + d]]
-            chain.append(feats)
-        chains.append(chain)
-        gold.append(labels)
-    if not any(B in g for g in gold):
+            sizes.append(len(feats))
+            flat.extend([numbers.setdefault(f, len(numbers)) for f in feats])
+    if B not in gold:
         return {"index": {}, "weights": np.zeros((0, 3)), "trans": np.zeros((3, 3))}
-    counted = Counter(f for c in chains for x in c for f in x)
-    index = {f: i for i, f in enumerate(sorted(f for f, n in counted.items() if n > 1 or f == "0bias"))}
-    ids = [[index[f] for f in x if f in index] for c in chains for x in c]
-    weights, trans = fit(
-        np.array([i for x in ids for i in x]), np.cumsum([0, *map(len, ids)]), np.array([g for gs in gold for g in gs]), np.array(list(map(len, gold))),
-        len(index), 3, border=O, forbidden=FORBIDDEN, epochs=5, batch=128,
-    )
+    ids = np.frombuffer(flat, np.int32)
+    often = np.bincount(ids, minlength=len(numbers)) > 1
+    often[numbers["0bias"]] = True
+    place = np.cumsum(often) - 1
+    index = {f: int(place[i]) for f, i in numbers.items() if often[i]}
+    kept = often[ids]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bounds = np.append(0, np.cumsum(np.bincount(owner[kept], minlength=len(sizes))))
+    weights, trans = fit(place[ids[kept]], bounds, np.array(gold), np.array(lengths), len(index), 3, border=O, forbidden=FORBIDDEN, epochs=5, batch=128)
     return {"index": index, "weights": weights.astype(np.float32), "trans": trans}
 
 
@@ -267,21 +275,30 @@ class Tagger:
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(PLACES), 3), np.float32)  # of each token by itself, then as a neighbour
+        self.used, self.unknown = 0, {}
 
     def _sum(self, features: list[str]) -> np.ndarray:
         ids = [self.index[f] for f in features if f in self.index]
         return self.weights[ids].sum(0)
 
     def _learn(self, tokens: list[str]) -> None:
-        for t in tokens:
-            if t not in self.rows:
-                at = self.rows[t] = len(self.rows)
-                if at == len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[at, 0] = self._sum(["0" + f for f in own_features(t)])
-                for f in word_features(t):
-                    if (found := self.near.get(f)) is not None:
-                        self.scores[at, 1:] += found
+        for t in set(tokens).difference(self.rows):
+            bare, kind = t.rstrip(EDGE), None
+            if is_word(bare) and "0w=" + (low := bare.lower()) not in self.index and "w=" + low not in self.near:
+                kind = len(bare) // 4, bare[0].isupper()  # words that training did not meet score by these alone
+                if kind in self.unknown:
+                    self.rows[t] = self.unknown[kind]
+                    continue
+            at, self.used = self.used, self.used + 1
+            if at == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at, 0] = self._sum(["0" + f for f in own_features(t)])
+            for f in word_features(t):
+                if (found := self.near.get(f)) is not None:
+                    self.scores[at, 1:] += found
+            self.rows[t] = at
+            if kind:
+                self.unknown[kind] = at
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         """Scores of the tokens of one text, without those of the file."""
