@@ -13,5 +13,7 @@ TABLES = {
     "block_refs": "folder string, hash string, name string",
     "peers": "folder string, device bigint, max_sequence bigint",
     "folder_meta": "folder string, max_sequence bigint, next_blockseq bigint",
-    "cursors": "folder string, device bigint, batch bigint",
+    "folders": "id string, label string, storage_key string, key bigint",
 }
+#: What a peer announces, as the intake takes it.
+UPDATES = f"folder string, name string, arrival bigint, device bigint, {FILE}"

@@ -1,74 +1,134 @@
-"""Continuous intake of peers' updates: each micro-batch is decided by one join and published with its cursor."""
+"""Continuous intake of peers' updates: each micro-batch is folded into the tables in one pass and published with its cursors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import expr
-from stratum.operators.versions import apply_update_outcome
+from stratum.operators.commit import commit
 from stratum.sources.tables import Conflict, TableStore
 
+KEY = ["folder", "name"]
 
-def rounds(updates: DataFrame) -> DataFrame:
-    """Number each update of a name in order of arrival: updates of one round name every file once."""
-    return updates.withColumn("round", F.row_number().over(Window.partitionBy("folder", "name").orderBy("arrival")))
 
+def fold(files: DataFrame, updates: DataFrame, policy: str = "theirs", local_device: int = 0) -> DataFrame:
+    """(folder, name, row, changed, staged, copies, invalid) of every name that updates mention, in the order of arrival.
 
-def apply_batch(files: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files after, outcomes) for a batch that names every file once at most.
-
-    An update that dominates replaces the file if it brings no new blocks; one that needs blocks is left to staging.
+    updates have the columns of files, arrival and device. All updates of a name are one list, folded over the name's row in
+    one aggregate: what the row has become and whether it changed, updates that need blocks (staged), rows of losers to keep
+    (copies), and the number of invalid ones. An update that is concurrent with the row is resolved by the policy, as
+    stratum.operators.commit.resolved() does.
     """
-    outcomes = apply_update_outcome(files, updates, expr.blocks_equal(F.col("local_blocks"), F.col("blocks")))
-    applied = updates.join(outcomes.where("outcome = 'Applied'"), ["folder", "name"]).drop("outcome")
-    high = files.groupBy("folder").agg(F.max("sequence").alias("high"))
-    place = F.row_number().over(Window.partitionBy("folder").orderBy("arrival", "name"))
-    fresh = applied.withColumn("place", place).join(high, "folder", "left")
-    fresh = fresh.withColumn("sequence", F.coalesce("high", F.lit(0)) + F.col("place")).select(*files.columns)
-    return files.join(applied.select("folder", "name"), ["folder", "name"], "left_anti").unionByName(fresh), outcomes
+    columns = [c for c in files.columns if c not in KEY]
+    lists = updates.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("arrival", "device", F.struct(*columns).alias("row")))).alias("updates"))
+    mine = files.select(*KEY, F.struct(*columns).alias("local"))
+    kind = files.select(F.struct(*columns).alias("r")).schema["r"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    empty = F.array().cast(f"array<{kind}>")
+    start = F.struct(
+        F.col("local").alias("row"), F.lit(False).alias("changed"), F.array().cast(f"array<struct<arrival:bigint,row:{kind}>>").alias("staged"),
+        empty.alias("copies"), F.lit(0).alias("invalid"), F.lit(0).cast("bigint").alias("arrival"),
+    )
+
+    def step(state: Column, u: Column) -> Column:
+        own, new = state["row"], u["row"]
+        relation = expr.vv_compare(own["version"], new["version"])
+        bad = expr.name_error(F.col("name")).isNotNull() | expr.block_list_error(new["size"], new["blocks"]).isNotNull()
+        fresh = own.isNull() | own["version"].isNull() | new["version"].isNull()
+        outcome = (
+            F.when(bad, "invalid").when(fresh, "need").when(relation.isin("Greater", "Equal"), "none").when(relation == "Invalid", "invalid")
+            .when(relation == "Concurrent", "conflict").when(expr.blocks_equal(own["blocks"], new["blocks"]), "apply").otherwise("need")
+        )
+        if policy == "backup":
+            local_wins = expr.conflict_winner(own["version"], own["deleted"], F.lit(local_device), new["version"], new["deleted"], u["device"]) == "a"
+        else:
+            local_wins = F.lit(False)
+
+        def decided(o: Column) -> Column:
+            takes = (o == "apply") | ((o == "conflict") & ~local_wins)
+            loser = F.when(o == "conflict", F.when(local_wins, new).otherwise(own)) if policy == "backup" else none
+            return F.struct(
+                F.when(takes, _carried(new, own)).otherwise(own).alias("row"), (state["changed"] | o.isin("apply", "conflict")).alias("changed"),
+                F.when(o == "need", F.concat(state["staged"], F.array(F.struct(u["arrival"].alias("arrival"), new.alias("row"))))).otherwise(state["staged"]).alias("staged"),
+                F.when(loser.isNotNull(), F.concat(state["copies"], F.array(loser))).otherwise(state["copies"]).alias("copies"),
+                (state["invalid"] + F.when(o == "invalid", 1).otherwise(0)).alias("invalid"), u["arrival"].alias("arrival"),
+            )
+
+        return F.get(F.transform(F.array(outcome), decided), F.lit(0))
+
+    def _carried(new: Column, own: Column) -> Column:
+        """The new row, its bare blocks with the data and numbers that the old row has for their hashes."""
+
+        def fill(b: Column) -> Column:
+            old = F.get(F.filter(own["blocks"], lambda x: (x["hash"] == b["hash"]) & (x["blockseq"].isNotNull() | x["inline_data"].isNotNull())), F.lit(0))
+            bare = b["blockseq"].isNull() & b["inline_data"].isNull()
+            kept = lambda c: F.when(bare, old[c]).otherwise(b[c]).alias(c)
+            return F.struct(b["hash"].alias("hash"), b["offset"].alias("offset"), b["size"].alias("size"), kept("blockseq"), kept("inline_data"))
+
+        return F.struct(*[F.transform(new["blocks"], fill).alias(c) if c == "blocks" else new[c].alias(c) for c in columns])
+
+    folded = lists.join(mine, KEY, "left").select(*KEY, F.aggregate("updates", start, step).alias("s"))
+    return folded.select(*KEY, "s.row", "s.changed", "s.staged", "s.copies", "s.invalid", "s.arrival")
 
 
 class Intake:
     """A foreachBatch sink that folds update batches into a table store, exactly once.
 
     The manifest that publishes a batch also records its number, so a batch that is replayed after a failure is passed over.
-    Updates that name a file twice are folded in rounds, in order of arrival; versions form no total order, so the latest or
-    greatest alone would be wrong.
+    It carries all tables the batch changes: files, their sequences and counters, what waits for blocks in the inbox (at the
+    epoch of the writer), and the last sequence seen of each device.
     """
 
-    def __init__(self, store: TableStore, retries: int = 3):
-        self.store, self.retries = store, retries
+    def __init__(self, store: TableStore, retries: int = 3, policy: str = "theirs", epoch: int = 0):
+        self.store, self.retries, self.policy, self.epoch = store, retries, policy, epoch
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        for attempt in range(self.retries):
-            base = self.store.current()
-            if base.cursors.get("intake", -1) >= number:
-                return
-            files, staged = self.store.read("files", base), []
-            numbered = rounds(batch).persist()
-            try:
-                for r in range(1, (numbered.agg(F.max("round")).first()[0] or 0) + 1):
-                    updates = numbered.where(F.col("round") == r)
-                    after, outcomes = apply_batch(files, updates)
-                    wanted = outcomes.where("outcome = 'NeedBlocks'").select("folder", "name")
-                    staged.append(updates.join(wanted, ["folder", "name"], "left_semi").withColumn("epoch", F.lit(0).cast("long")))
-                    files = self.store.settled("files", after)
-                changes = {"inbox": staged[0]} if len(staged) == 1 else {}
-                for more in staged[1:]:
-                    changes["inbox"] = changes.get("inbox", staged[0]).unionByName(more)
-                self.store.commit(base, replace={"files": files}, append=changes, cursors={"intake": number})
-                return
-            except Conflict:
-                if attempt + 1 == self.retries:
-                    raise
-            finally:
-                numbered.unpersist()
-
-
-def start(source: DataFrame, store: TableStore, checkpoint: str, once: bool = False):
-    """Run the intake over a streaming DataFrame of updates (the inbox's columns)."""
-    writer = source.writeStream.foreachBatch(Intake(store)).option("checkpointLocation", checkpoint)
+        batch.persist()
+        try:
+            for attempt in range(self.retries):
+                base = self.store.current()
+                if base.cursors.get("intake", -1) >= number:
+                    return
+                try:
+                    self._publish(base, batch, number)
+                    return
+                except Conflict:
+                    if attempt + 1 == self.retries:
+                        raise
+        finally:
+            batch.unpersist()
+
+    def _publish(self, base, batch: DataFrame, number: int) -> None:
+        read = lambda t: self.store.read(t, base)
+        files = read("files")
+        folded = self.store.scratch(fold(files, batch, self.policy))  # read three times below
+        winners = folded.where("changed").select(*KEY, "arrival", F.lit(1).alias("part"), "row.*")
+        copies = folded.select("folder", F.concat("name", F.lit(".sync-conflict")).alias("name"), "arrival", F.lit(0).alias("part"), F.explode("copies").alias("row"))
+        last = copies.groupBy("folder", "name").agg(F.max_by("row", "arrival").alias("row"), F.max("arrival").alias("arrival"))
+        rows = winners.unionByName(last.select(*KEY, "arrival", F.lit(0).alias("part"), "row.*"))
+        staged = folded.select(*KEY, F.explode("staged").alias("u")).select("folder", F.lit(self.epoch).cast("long").alias("epoch"), "u.arrival", "name", "u.row.*")
+        waiting = read("inbox").unionByName(staged.select(*read("inbox").columns))
+        latest = waiting.groupBy("folder", "epoch", "name").agg(F.max_by(F.struct(*waiting.columns), "arrival").alias("r")).select("r.*")
+        seen = batch.where(F.col("device").isNotNull()).groupBy("folder", "device").agg(F.max("sequence").alias("seen"))
+        peers = read("peers").join(seen, ["folder", "device"], "full_outer").select("folder", "device", F.greatest(F.coalesce("max_sequence", F.lit(0)), F.coalesce("seen", F.lit(0))).alias("max_sequence"))
+        known = read("folder_meta").join(files.groupBy("folder").agg(F.max("sequence").alias("high")), "folder", "full_outer")
+        meta = known.select("folder", F.greatest(F.coalesce("max_sequence", F.lit(0)), F.coalesce("high", F.lit(0))).alias("max_sequence"), "next_blockseq")
+        out = commit(files, read("seqs"), meta, rows, ["part"])
+        self.store.commit(base, replace={"files": out["files"], "seqs": out["seqs"], "folder_meta": out["meta"], "inbox": latest, "peers": peers}, cursors={"intake": number})
+
+
+def source(spark, path: str, schema: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
+    """A stream of updates from files; max_files and max_bytes bound what a micro-batch takes, as a peer's pace would."""
+    reader = spark.readStream.schema(schema)
+    for name, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        reader = reader.option(name, value) if value is not None else reader
+    return reader.parquet(path)
+
+
+def start(source: DataFrame, store: TableStore, checkpoint: str, once: bool = False, policy: str = "theirs"):
+    """Run the intake over a streaming DataFrame of updates (the columns of files, arrival and device)."""
+    writer = source.writeStream.foreachBatch(Intake(store, policy=policy)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
