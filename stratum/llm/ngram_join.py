@@ -29,10 +29,10 @@ from stratum.llm.components import connected_components
 WORDS, THRESHOLD, TOKENS = 5, 0.8, 64
 #: Sets in a bucket that is compared by brute force; levels of splitting.
 BUCKET, LEVELS = 256, 4
-#: Sets and bytes of shingles in a block of a provisional class; a cell of its comparison holds two blocks. Classes of more than
-#: DEALT blocks have blocks of up to four times as many sets, for fewer copies, as long as there are DEALT: a cell is then a
-#: seventieth of what a class shuffles at most.
-BLOCK, BLOCK_BYTES, DEALT = 256, 4 << 20, 12
+#: Sets and bytes of shingles in a block of a provisional class; a cell of its comparison holds two blocks. Classes of more
+#: sets than BLOCK are dealt into DEALT blocks, or as many more or fewer as keep blocks between half of BLOCK and four times
+#: as many sets: many enough that no cell is much of what a class shuffles, few enough that sets are not copied too often.
+BLOCK, BLOCK_BYTES, DEALT = 256, 4 << 20, 24
 #: Sets of one bucket that a task holds; larger buckets are dealt out again. Tokens in which sets must agree to be compared.
 HELD = 40_000
 CUT = (THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)) * TOKENS
@@ -242,7 +242,7 @@ def _process(level: int):
 
     def run(batches):
         head = None  # path and first set of a bucket that comes in parts
-        for table, big in whole_groups(batches, 0, 20_000, HELD):
+        for table, big in whole_groups(batches, 0, 20_000, HELD, 16 << 20):
             path, node = table["a"].to_numpy(), table["b"].to_numpy()
             tokens = _tokens(table["sketch"])
             edges: list[tuple[int, int]] = []
@@ -356,7 +356,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     members = connected_components(edges)
     members = members.join(sets.select("node", "copies", "n"), "node")
-    held = F.greatest(F.lit(BLOCK), F.least(F.lit(4 * BLOCK), F.count("*") / F.lit(DEALT)))
+    held = F.when(F.count("*") <= BLOCK, BLOCK).otherwise(F.greatest(F.lit(BLOCK / 2), F.least(F.lit(4 * BLOCK), F.count("*") / F.lit(DEALT))))
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / held, 8 * F.sum("n") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
     members = materialize(spark, members.join(sizes, "root").select("node", "root", "copies", "blocks"), "members")
     wanted = sized_join(docs.withColumnRenamed("doc", "node"), members, "node", "inner", 40 * members.count())
