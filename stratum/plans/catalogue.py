@@ -315,6 +315,13 @@ def match_responses(spark, d):
     return intake.match_responses(requests, answers)
 
 
+@query("SELECT doc_id + 1000000 AS id FROM files WHERE doc_id % 4 = 0")
+def unknown_responses(spark, d):
+    requests = fx.files(spark, d).select(F.col("doc_id").alias("id"), "name")
+    answers = requests.select((F.col("id") + F.when(F.col("id") % 4 == 0, 1_000_000).otherwise(0)).alias("id"))
+    return intake.unknown_responses(requests, answers)
+
+
 @query("""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 OR doc_id % 10 = 7 THEN 'GENERIC' WHEN doc_id % 9 = 0 OR deleted THEN 'NO_SUCH_FILE' ELSE 'NO_ERROR' END AS code FROM files""")
 def request_codes(spark, d):
     doc = F.col("doc_id")

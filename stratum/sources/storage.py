@@ -1,9 +1,7 @@
-"""Storage addresses and options, and the small driver-side records: durations, lease files."""
+"""Storage addresses and options, and durations."""
 
 from __future__ import annotations
 
-import json
-import os
 import re
 import tempfile
 from pathlib import Path
@@ -14,7 +12,8 @@ _UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hour": 3600, "d": 86
 
 
 def resolve_uri(uri: str, create: bool = False) -> str:
-    """The folder, as Spark reads it, of memory:// (a new temporary one), a local path, file:// or a store that Hadoop knows."""
+    """The folder, as Spark reads it, of memory:// (a new temporary one, for local mode alone: no other machine sees it), a local
+    path, file:// or a store that Hadoop knows."""
     parts = urlsplit(uri)
     if parts.scheme == "memory":
         return "file://" + tempfile.mkdtemp(prefix="stratum-memory-")
@@ -69,17 +68,3 @@ def check_schedules(schedules: dict[str, str]) -> dict[int, int]:
             raise ValueError(f"interval given twice: {interval}")
         out[seconds] = parse_duration(ttl)
     return out
-
-
-def claim_lease(folder: str, holder: str, priority: int, duration_s: int) -> int:
-    """Take the next epoch in a local folder: one file an epoch, created only if absent; retried when another was first."""
-    root = Path(folder)
-    while True:
-        epoch = max((int(p.stem) for p in root.glob("*.json") if p.stem.isdigit()), default=-1) + 1
-        try:
-            handle = os.open(root / f"{epoch:012d}.json", os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            continue
-        with os.fdopen(handle, "w") as out:
-            json.dump({"holder": holder, "priority": priority, "duration_s": duration_s}, out)
-        return epoch

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.engine import Engine
+from stratum.operators import collection, leases
 from stratum.sources.schema import COUNTERS, TABLES, UPDATES
-from stratum.sources.storage import claim_lease
 from stratum.sources.tables import Conflict, Standby, TableStore, UnsupportedVersion
 from stratum.streaming import ingest
 
@@ -218,8 +218,24 @@ def test_engine_commands(spark, tmp_path):
     assert engine.folders().count() == 0
 
 
-def test_lease_files_are_claimed_once(tmp_path):
-    assert [claim_lease(str(tmp_path), h, 0, 180) for h in "abc"] == [0, 1, 2]
+def test_claims_take_one_epoch_each(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}")
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda h: store.claim(h, 0, 180), "abcd")) == [0, 1, 2, 3]
+    held = store.leases()
+    first = leases.owner(held).first()
+    assert first.epoch == 0 and {r.status for r in leases.status(held, held.selectExpr("lock", "last_modified as now").limit(1)).collect()} == {"Active"}
+    store.drop_claims([r.epoch for r in held.join(leases.released(held, first.holder), ["lock", "epoch"], "left_anti").collect()])
+    assert sorted(r.epoch for r in store.leases().collect()) == [1, 2, 3]
+    assert store.claim("e", 0, 180) == 4
+
+
+def test_sweeps_stop_at_a_corrupt_payload_key(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}")
+    tables = {t: store.read(t) for t in ("files", "inbox", "seqs", "block_ptrs", "block_refs")} | {"block_data": spark.createDataFrame([("f", 5, b"x")], TABLES["block_data"])}
+    swept = collection.sweep(tables, spark.createDataFrame([], "folder string, floor long"), 0)
+    with pytest.raises(Exception, match="corrupt payload key"):
+        swept["block_data"].collect()
 
 
 def test_entry_points_survive_without_the_optional_package(spark, monkeypatch):
