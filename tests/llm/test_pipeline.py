@@ -1,5 +1,6 @@
 """The corpus pipeline against a plain version of what its stages decide."""
 
+import random
 from itertools import combinations
 
 import corpus_pipeline
@@ -72,3 +73,34 @@ def test_language_stage_keeps_even_mixes(spark, sf):
 def test_words_without_a_sure_label_are_unsure():
     labeller = language_id.Labeller({"langs": list("abcd"), "index": {}, "weights": language_id.np.zeros((1, 4), "f"), "trans": language_id.np.zeros((4, 4), "f")})
     assert labeller.documents(["some words"])[2][0] < corpus_pipeline.LEAST_SCORE
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Runs string, spans int, kept string, class_id int, lang_pred string"
+
+
+def test_stages_on_empty_tables(spark, sf):
+    none = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, sf)
+        assert out.collect() == [] and (name == "packing" or out.columns == none.columns)
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, sf):
+    rng = random.Random(2)
+    words = {"en": "the of river stone lamp green cloud under water house", "de": "der und fluss stein lampe wolke unter wasser haus mit"}
+    prose = lambda lang, k=60: " ".join(rng.choice(words[lang].split()) + rng.choice(["", "s", "en"]) for _ in range(k))
+    more = ("r", 1, "k", 2, "p")
+    rows = [(i, prose("en" if i % 2 else "de"), "en" if i % 2 else "de", "s", 1, *more) for i in range(80)]
+    twin, other = rows[7], (8, prose("en"), None, None, None, None, None, None, None, None)
+    extra = [twin, twin, other, (None, prose("en"), None, None, None, *more), (200, None, "en", "s", 1, *more), (201, "", "en", "s", 1, *more), (202, "½ 12", "en", "s", 1, *more), (203, rows[11][1] + " mail a.b@c.de", "en", "s", 1, *more)]
+    docs = spark.createDataFrame(rows + extra, SCHEMA)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(spark, stage(spark, docs, sf), name)
+        seen[name] = [r.asDict() for r in docs.collect()]
+        assert name == "packing" or docs.columns == spark.createDataFrame([], SCHEMA).columns
+    ids = lambda name: sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in seen[name])
+    assert ids("language_id") == sorted([*range(80), 7, 7, 8, -1, 203])
+    assert ids("ngram_join") == ids("suffix_dedup") == ids("pii") == sorted([*range(80), 8, -1])  # 203 is a near copy of 11
+    assert {(r["Runs"], r["spans"], r["kept"], r["class_id"], r["lang_pred"]) for r in seen["pii"] if r["doc_id"] not in (8, None)} == {more}
+    assert {r["doc_id"] for r in seen["packing"]} == {*range(80), None}
