@@ -16,22 +16,29 @@ from stratum.operators.numbering import arrival_bucket, hash_bucket, numbered
 KEY = ["folder", "name"]
 
 
-def carry(rows: DataFrame, old: DataFrame) -> DataFrame:
-    """Rows whose blocks without data and number take both from the first block of the old row with their hash that has one."""
-    known = old.select(*KEY, F.filter("blocks", lambda b: b["blockseq"].isNotNull() | b["inline_data"].isNotNull()).alias("__old"))
-
-    def found(b: Column) -> Column:
-        return F.get(F.filter("__old", lambda o: o["hash"] == b["hash"]), F.lit(0))
+def carried(blocks: Column, old: Column) -> Column:
+    """Blocks, those without data and number with what the first of the old blocks with their hash has that has any."""
+    known = F.filter(old, lambda o: o["blockseq"].isNotNull() | o["inline_data"].isNotNull())
 
     def fill(b: Column) -> Column:
         bare = b["blockseq"].isNull() & b["inline_data"].isNull()
-        seq = F.when(bare, found(b)["blockseq"]).otherwise(b["blockseq"])
-        inline = F.when(bare, found(b)["inline_data"]).otherwise(b["inline_data"])
-        return F.struct(b["hash"].alias("hash"), b["offset"].alias("offset"), b["size"].alias("size"), seq.alias("blockseq"), inline.alias("inline_data"))
+        found = F.get(F.filter(known, lambda o: o["hash"] == b["hash"]), F.lit(0))
+        kept = lambda c: F.when(bare, found[c]).otherwise(b[c]).alias(c)
+        return F.struct(b["hash"].alias("hash"), b["offset"].alias("offset"), b["size"].alias("size"), kept("blockseq"), kept("inline_data"))
+
+    return F.when(old.isNull(), blocks).otherwise(F.transform(blocks, fill))
+
+
+def carry(rows: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows with what the blocks of the committed rows of their names hand down."""
+    joined = rows.join(old.select(*KEY, F.col("blocks").alias("__old")), KEY, "left")
+    return joined.select(*[carried(F.col("blocks"), F.col("__old")).alias(c) if c == "blocks" else F.col(c) for c in rows.columns])
+
 
-    joined = rows.join(known, KEY, "left")
-    filled = F.when(F.col("__old").isNull(), F.col("blocks")).otherwise(F.transform("blocks", fill))
-    return joined.select(*[filled.alias(c) if c == "blocks" else F.col(c) for c in rows.columns])
+def references(rows: DataFrame) -> DataFrame:
+    """(folder, hash, name) of the blocks of rows that have a number: what a row under a new name adds to the references."""
+    listed = rows.select(*KEY, F.explode("blocks").alias("b")).where("b.blockseq is not null")
+    return listed.select("folder", "b.hash", "name").distinct()
 
 
 def commit(files: DataFrame, seqs: DataFrame, meta: DataFrame, staged: DataFrame, order: list[str] | None = None) -> dict[str, DataFrame]:
@@ -121,7 +128,7 @@ def resolved(local: DataFrame, remote: DataFrame, policy: str = "theirs", local_
 
     theirs: the remote row always wins, the local one is dropped. backup: the larger total of counters wins, then what is
     not deleted, then the larger device, then the remote; the loser is committed first (part 0), as name.sync-conflict,
-    then the winner (part 1). Both keep their own versions.
+    then the winner (part 1). Both keep their own versions; the copy inherits what the local row has for its blocks.
     """
     columns = remote.columns
     mine = local.select(*KEY, F.struct(*[c for c in local.columns if c not in KEY]).alias("__l"))
@@ -143,5 +150,6 @@ def resolved(local: DataFrame, remote: DataFrame, policy: str = "theirs", local_
     out = both.select(*side(True), F.lit(1).alias("part"))
     if policy == "theirs":
         return out
-    losers = both.select(*side(False), F.lit(0).alias("part"))
+    lost = both.select(*side(False), F.col("__l.blocks").alias("__old"), F.lit(0).alias("part")) if "blocks" in fields else both.select(*side(False), F.lit(0).alias("part"))
+    losers = lost.select(*[carried(F.col("blocks"), F.col("__old")).alias(c) if c == "blocks" else F.col(c) for c in columns], "part")
     return losers.withColumn("name", F.concat("name", F.lit(".sync-conflict"))).unionByName(out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions import expr
-from stratum.operators.commit import commit
+from stratum.operators.commit import carried, commit, references
 from stratum.sources.tables import Conflict, TableStore
 
 KEY = ["folder", "name"]
@@ -47,7 +47,7 @@ def fold(files: DataFrame, updates: DataFrame, policy: str = "theirs", local_dev
 
         def decided(o: Column) -> Column:
             takes = (o == "apply") | ((o == "conflict") & ~local_wins)
-            loser = F.when(o == "conflict", F.when(local_wins, new).otherwise(own)) if policy == "backup" else none
+            loser = F.when(o == "conflict", F.when(local_wins, _carried(new, own)).otherwise(own)) if policy == "backup" else none
             return F.struct(
                 F.when(takes, _carried(new, own)).otherwise(own).alias("row"), (state["changed"] | o.isin("apply", "conflict")).alias("changed"),
                 F.when(o == "need", F.concat(state["staged"], F.array(F.struct(u["arrival"].alias("arrival"), new.alias("row"))))).otherwise(state["staged"]).alias("staged"),
@@ -58,15 +58,7 @@ def fold(files: DataFrame, updates: DataFrame, policy: str = "theirs", local_dev
         return F.get(F.transform(F.array(outcome), decided), F.lit(0))
 
     def _carried(new: Column, own: Column) -> Column:
-        """The new row, its bare blocks with the data and numbers that the old row has for their hashes."""
-
-        def fill(b: Column) -> Column:
-            old = F.get(F.filter(own["blocks"], lambda x: (x["hash"] == b["hash"]) & (x["blockseq"].isNotNull() | x["inline_data"].isNotNull())), F.lit(0))
-            bare = b["blockseq"].isNull() & b["inline_data"].isNull()
-            kept = lambda c: F.when(bare, old[c]).otherwise(b[c]).alias(c)
-            return F.struct(b["hash"].alias("hash"), b["offset"].alias("offset"), b["size"].alias("size"), kept("blockseq"), kept("inline_data"))
-
-        return F.struct(*[F.transform(new["blocks"], fill).alias(c) if c == "blocks" else new[c].alias(c) for c in columns])
+        return F.struct(*[carried(new["blocks"], own["blocks"]).alias(c) if c == "blocks" else new[c].alias(c) for c in columns])
 
     folded = lists.join(mine, KEY, "left").select(*KEY, F.aggregate("updates", start, step).alias("s"))
     return folded.select(*KEY, "s.row", "s.changed", "s.staged", "s.copies", "s.invalid", "s.arrival")
@@ -115,7 +107,8 @@ class Intake:
         known = read("folder_meta").join(files.groupBy("folder").agg(F.max("sequence").alias("high")), "folder", "full_outer")
         meta = known.select("folder", F.greatest(F.coalesce("max_sequence", F.lit(0)), F.coalesce("high", F.lit(0))).alias("max_sequence"), "next_blockseq")
         out = commit(files, read("seqs"), meta, rows, ["part"])
-        self.store.commit(base, replace={"files": out["files"], "seqs": out["seqs"], "folder_meta": out["meta"], "inbox": latest, "peers": peers}, cursors={"intake": number})
+        refs = read("block_refs").unionByName(references(last.select(*KEY, "row.*"))).distinct()
+        self.store.commit(base, replace={"files": out["files"], "seqs": out["seqs"], "folder_meta": out["meta"], "inbox": latest, "peers": peers, "block_refs": refs}, cursors={"intake": number})
 
 
 def source(spark, path: str, schema: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:

@@ -129,6 +129,8 @@ def test_streaming_intake_equals_sequential_model(spark, tmp_path, policy):
     row = lambda r: (tuple(int(c.value) for c in r.version), r.blocks[0].hash, r.deleted)
     assert {r.name: row(r) for r in rows if not r.name.endswith(".sync-conflict")} == state
     assert {r.name.removesuffix(".sync-conflict"): row(r) for r in rows if r.name.endswith(".sync-conflict")} == copies and bool(copies) == (policy == "backup")
+    inherited = [r.blocks[0].inline_data for r in rows if r.name.endswith(".sync-conflict") and r.blocks[0].hash == BLOCK]
+    assert policy == "theirs" or b"0123456789" in map(bytes, filter(None, inherited))
     assert {r.name: r.arrival for r in store.read("inbox").collect()} == need
     found = {r.rule for r in Engine(spark, f"{tmp_path}/store").check().collect()}
     assert found <= {"unresolvable block", "missing reference", "missing pointer"}  # of blocks that have not come in yet
