@@ -144,7 +144,7 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col
     """Pieces of all documents with sequence_id and offset: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null and empty texts are documents of the end id alone. Null ids and rows that repeat are packed like all others, each
-    by itself. No row is moved between tasks but for a count of each length a task; only the histogram, `capacity` numbers,
+    by itself; other columns play no part. No row is moved between tasks but for a count of each length a task; only the histogram, `capacity` numbers,
     and the plan made from it are on the driver. An empty table gives an empty result.
     """
     spark = df.sparkSession

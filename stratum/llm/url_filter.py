@@ -113,7 +113,9 @@ def filter_urls(
 
     Where no rule fits, the first of globs, (verdict, glob over the canonical URL), that matches gives the verdict, else it
     is `default`. Null URLs and those without '://' have an empty host and path and match only globs that fit a lone dot.
-    Rules of equal length: the earlier listed. One pass without shuffle. Columns of these four names are replaced.
+    Rules of equal length: the earlier listed. Rows that repeat are judged alike; an empty table gives an empty one. URLs may
+    have any length: time grows with the bytes and with the words of the automaton. One pass without shuffle. Columns of
+    these four names, in any case, are replaced.
     """
     taken = {"host", "path", "rule", "verdict"}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
