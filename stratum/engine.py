@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.device_id import format_device_id
 from stratum.operators import blocks as block_ops
 from stratum.operators import collection, commit, index, integrity, snapshots
-from stratum.sources.storage import check_schedules, format_duration, parse_duration, resolve_uri, store_options
+from stratum.sources.storage import check_credentials, check_schedules, format_duration, hadoop_settings, parse_duration, resolve_uri, store_options
 from stratum.sources.tables import Manifest, TableStore
 
 DEFAULT_SCHEDULES = {"1h": "24h", "1day": "7days"}
@@ -19,7 +21,10 @@ class Engine:
     """A folder's tables at a storage address."""
 
     def __init__(self, spark: SparkSession, uri: str, create: bool = True, environment: dict[str, str] | None = None):
-        self.spark, self.options = spark, store_options(uri, environment or {})
+        self.spark, self.options = spark, store_options(uri, os.environ if environment is None else environment)
+        check_credentials(uri, self.options)
+        for name, value in hadoop_settings(self.options).items():
+            spark.sparkContext._jsc.hadoopConfiguration().set(name, value)
         self.store = TableStore(spark, resolve_uri(uri, create))
         self.schedules = check_schedules(DEFAULT_SCHEDULES)
 

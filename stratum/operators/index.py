@@ -123,3 +123,9 @@ def labels_in_order(listed: DataFrame) -> DataFrame:
 def updates_to_send(files: DataFrame, committed: DataFrame) -> DataFrame:
     """Index updates of one file each, for rows that a batch committed: the row's sequence is the last, nothing precedes."""
     return committed.join(files, ["folder", "name"]).select("folder", "name", F.col("sequence").alias("last_sequence"), F.lit(0).cast("long").alias("prev_sequence"))
+
+
+def allowed(connecting: DataFrame, devices: DataFrame) -> DataFrame:
+    """(device, allowed) of devices that ask for a connection."""
+    known = devices.select("device").distinct().withColumn("known", F.lit(True))
+    return connecting.join(known, "device", "left").select("device", F.coalesce("known", F.lit(False)).alias("allowed"))

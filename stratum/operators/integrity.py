@@ -207,3 +207,13 @@ def passed(found: DataFrame, folders: DataFrame) -> DataFrame:
 
 def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("folder", "rule").agg(F.count("*").alias("n"))
+
+
+#: Failures from the mildest to the gravest: what a connection's end is put down to when several workers failed.
+GRAVITY = ("closed", "transient", "peer", "fatal")
+
+
+def gravest(failures: DataFrame) -> DataFrame:
+    """Of the failures (folder, error) of each folder the gravest."""
+    rank = F.array_position(F.array(*map(F.lit, GRAVITY)), F.col("error"))
+    return failures.groupBy("folder").agg(F.max_by("error", rank).alias("error"))

@@ -1009,6 +1009,12 @@ def current_connections(spark, d):
     return intake.current_connections(fx.table(spark, d, "events").select(F.col("user_id").alias("device"), F.col("ts").alias("connected"), F.col("event_id").alias("id")))
 
 
+@query("SELECT DISTINCT user_id AS device, user_id IN (3, 7, 9) AS allowed FROM events")
+def allowed_devices(spark, d):
+    asked = fx.table(spark, d, "events").select(F.col("user_id").alias("device")).distinct()
+    return index.allowed(asked, spark.createDataFrame([(3,), (7,), (9,), (-1,)], "device long"))
+
+
 # --- listings and files ---
 
 
@@ -1148,9 +1154,4 @@ def error_priority(spark, d):
     """The gravest failure of each folder; in one folder all workers are merely closed."""
     doc = F.col("doc_id")
     error = F.when((doc % 4 == 0) | (F.col("folder") == "de"), "closed").when(doc % 4 == 1, "transient").when(doc % 4 == 2, "peer").otherwise("fatal")
-    return leases_errors(fx.files(spark, d).select("folder", error.alias("error")))
-
-
-def leases_errors(failures):
-    rank = F.array_position(F.array(*map(F.lit, ("closed", "transient", "peer", "fatal"))), F.col("error"))
-    return failures.groupBy("folder").agg(F.max_by("error", rank).alias("error"))
+    return integrity.gravest(fx.files(spark, d).select("folder", error.alias("error")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import device_id, expr
 from stratum.sources.fixtures import counters
-from stratum.sources.storage import check_schedules, format_duration, parse_duration, resolve_uri, store_options
+from stratum.sources.storage import check_credentials, check_schedules, format_duration, hadoop_settings, parse_duration, resolve_uri, retried, store_options
 
 
 def column(spark, values, kind, build):
@@ -103,3 +103,47 @@ def test_driver_records(tmp_path):
     assert store_options("s3://b?region=x&empty=", {"AWS_REGION": "", "AWS_KEY": "k"}, {"region": "d", "a": "1"}) == {"region": "x", "a": "1", "aws_key": "k"}
     with pytest.raises(ValueError):
         resolve_uri("nfs://x")
+
+
+@pytest.mark.parametrize(
+    ("uri", "environment", "fine"),
+    [
+        ("s3://b", {}, False), ("s3://b", {"AWS_ACCESS_KEY_ID": "k"}, True), ("s3a://b?access_key_id=k", {}, True), ("s3://b?skip_signature=true", {}, True), ("s3://b?skip_signature=no", {}, False),
+        ("https://x.amazonaws.com/b", {}, False), ("https://example.org/b", {}, True), ("gs://b", {}, False), ("gs://b", {"GOOGLE_APPLICATION_CREDENTIALS": "/f"}, True),
+        ("gs://b", {"AWS_ACCESS_KEY_ID": "k"}, False), ("gs://b", {"USE_AMBIENT_CREDS": " Yes "}, True), ("/tmp", {}, True), ("s3://b", {"AWS_ACCESS_KEY_ID": ""}, False),
+    ],
+)
+def test_cloud_stores_need_credentials_by_name(uri, environment, fine):
+    options = store_options(uri, environment)
+    assert options["timeout"] == "10min"
+    if fine:
+        check_credentials(uri, options)
+    else:
+        with pytest.raises(PermissionError):
+            check_credentials(uri, options)
+
+
+def test_options_become_settings():
+    options = store_options("s3://b?endpoint=http://h&skip_signature=1", {"AWS_ACCESS_KEY_ID": "k", "AWS_SECRET_ACCESS_KEY": "s"})
+    assert hadoop_settings(options) == {
+        "fs.s3a.endpoint": "http://h", "fs.s3a.access.key": "k", "fs.s3a.secret.key": "s", "fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider",
+    }
+
+
+def test_transient_errors_are_tried_again():
+    waits, left = [], [OSError(), OSError(), None]
+
+    def run():
+        error = left.pop(0)
+        if error:
+            raise error
+        return 7
+
+    assert retried(run, lambda e: isinstance(e, OSError), wait=waits.append) == 7 and waits == [1, 2]
+    left[:] = [ValueError()]
+    with pytest.raises(ValueError):
+        retried(run, lambda e: isinstance(e, OSError), wait=waits.append)
+    left[:] = [OSError()] * 20
+    with pytest.raises(OSError):
+        retried(run, lambda e: True, wait=waits.append)
+    assert len(left) == 9 and max(waits) == 60
