@@ -3,7 +3,8 @@
 Emission scores sum weights of a word's identity (lexicon), affixes and character n-grams; transitions are learned on
 sequences spliced from lines of different languages. Chains are lines. Forward-backward gives each word's marginals; a
 document's language has the greatest mean marginal, which is also its score. How surely its words are labelled, whatever
-their languages, is told apart from that: the mean over words of each word's greatest marginal.
+their languages, is told apart from that: the mean over words of each word's greatest marginal, words that share no feature
+with what was learned counting 0.
 """
 
 from __future__ import annotations
@@ -116,8 +117,10 @@ class Labeller:
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model["langs"])), np.float32)
+        self.met = np.zeros(0, bool)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words, and whether any of their features was learned."""
         if len(self.rows) > REMEMBER:
             self.forget()
         fresh = [w for w in set(words) if w not in self.rows]
@@ -131,10 +134,12 @@ class Labeller:
             made = np.add.reduceat(weights[np.array(ids)], np.cumsum(sizes) - sizes)
             self.rows.update(zip(fresh, range(len(self.scores), len(self.scores) + len(fresh))))
             self.scores = np.concatenate([self.scores, made])
-        return self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+            self.met = np.append(self.met, np.array(sizes) > 1)
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        return self.scores[at], self.met[at]
 
-    def words(self, given: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words of all texts, their marginals, and the number of words of each text."""
+    def words(self, given: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of all texts, their marginals, whether any of their features was learned, and the number of words of each text."""
         words, lengths, sizes = [], [], []
         for text in given:
             before = len(words)
@@ -145,20 +150,21 @@ class Labeller:
                     lengths.append(len(found))
             sizes.append(len(words) - before)
         if not words or not self.model["langs"]:
-            return words, np.zeros((len(words), len(self.model["langs"]))), np.array(sizes)
+            return words, np.zeros((len(words), len(self.model["langs"]))), np.zeros(len(words), bool), np.array(sizes)
         lengths = np.array(lengths)
-        marginal, _, _ = forward_backward(self.emissions(words), np.cumsum(lengths) - lengths, lengths, self.model["trans"])
-        return words, marginal, np.array(sizes)
+        emit, met = self.emissions(words)
+        marginal, _, _ = forward_backward(emit, np.cumsum(lengths) - lengths, lengths, self.model["trans"])
+        return words, marginal, met, np.array(sizes)
 
     def documents(self, given: list[str]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and sureness of each text."""
-        _, marginal, sizes = self.words(given)
+        _, marginal, met, sizes = self.words(given)
         langs, scores, sure = [UNDECIDED] * len(given), [0.0] * len(given), [0.0] * len(given)
         own = np.flatnonzero(sizes)
         if len(own) and marginal.shape[1]:
             at = (np.cumsum(sizes) - sizes)[own]
             mean = np.add.reduceat(marginal.astype(float), at) / sizes[own, None]
-            single = np.add.reduceat(marginal.max(1).astype(float), at) / sizes[own]
+            single = np.add.reduceat(marginal.max(1).astype(float) * met, at) / sizes[own]
             for i, best, p, q in zip(own.tolist(), mean.argmax(1).tolist(), mean.max(1).tolist(), single.tolist()):
                 langs[i], scores[i], sure[i] = self.model["langs"][best], min(1.0, max(0.0, p)), min(1.0, max(0.0, q))
         return langs, scores, sure

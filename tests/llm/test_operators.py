@@ -253,7 +253,7 @@ def test_language_of_held_out_words(spark, none):
     test = spark.createDataFrame([(1, text("aa")), (2, text("bb").upper()), (3, None), (4, "12 !?"), (5, "")], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(test, model).collect()}
     assert got[1][0] == "aa" and got[2][0] == "bb" and got[1][1] > 0.8 and got[3] == got[4] == got[5] == ("und", 0.0)
-    words, marginal, _ = language_id.Labeller(model).words([text("aa") + " " + text("bb")])
+    words, marginal, *_ = language_id.Labeller(model).words([text("aa") + " " + text("bb")])
     assert (marginal[:35].argmax(1) == 0).mean() > 0.9 and (marginal[45:].argmax(1) == 1).mean() > 0.9
     assert language_id.identify(test, language_id.train(none)).where("lang_pred <> 'und'").count() == 0
     odd = spark.createDataFrame([(1, "½ ² Ⅷ", 7), (1, "½ ² Ⅷ", 7), (2, text("aa"), 7), (3, (text("bb") + " ") * 3000, 7)], "doc_id long, text string, SCORE int")

@@ -104,3 +104,11 @@ def test_stages_on_nulls_repeats_and_clashing_columns(spark, sf):
     assert ids("ngram_join") == ids("suffix_dedup") == ids("pii") == sorted([*range(80), 8, -1])  # 203 is a near copy of 11
     assert {(r["Runs"], r["spans"], r["kept"], r["class_id"], r["lang_pred"]) for r in seen["pii"] if r["doc_id"] not in (8, None)} == {more}
     assert {r["doc_id"] for r in seen["packing"]} == {*range(80), None}
+
+
+def test_language_stage_drops_scripts_that_were_not_learned(spark, sf):
+    rng = random.Random(1)
+    foreign = [" ".join("".join(rng.choice(signs) for _ in range(rng.randint(2, 9))) for _ in range(80)) for signs in ("абвгдежзийклмноп", "αβγδεζηθικλμν", "漢字仮名交文書言語")]
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    both = docs.unionByName(spark.createDataFrame([(10**9 + i, t, None, "s", 1) for i, t in enumerate(foreign)], docs.schema))
+    assert corpus_pipeline.identify_language(spark, both, sf).where(f"doc_id >= {10**9}").count() == 0
