@@ -42,7 +42,8 @@ def references(rows: DataFrame) -> DataFrame:
 
 
 def commit(files: DataFrame, seqs: DataFrame, meta: DataFrame, staged: DataFrame, order: list[str] | None = None) -> dict[str, DataFrame]:
-    """files, seqs and meta after the staged rows, one a name, are committed in the order of arrival (and `order`).
+    """files, seqs and meta after the staged rows, one a name, are committed in the order of arrival (and `order`); new_files
+    and new_seqs are what a store that keeps the latest row of a name has to add to its own.
 
     Each takes the next sequence of its folder and carries pointers from the row it replaces, whose sequence entry goes;
     the folder's counter rises to its last sequence. Rows that stay keep all they have.
@@ -55,7 +56,8 @@ def commit(files: DataFrame, seqs: DataFrame, meta: DataFrame, staged: DataFrame
     used = placed.groupBy("folder").agg(F.count("*").alias("__n"))
     high = (F.coalesce("max_sequence", F.lit(0)) + F.coalesce("__n", F.lit(0))).cast("long")
     counters = meta.join(used, "folder", "full_outer").select(*[high.alias(c) if c == "max_sequence" else F.col(c) for c in meta.columns])
-    return {"files": files.join(names, KEY, "left_anti").unionByName(fresh), "seqs": seqs.join(names, KEY, "left_anti").unionByName(entries), "meta": counters}
+    after = {"files": files.join(names, KEY, "left_anti").unionByName(fresh), "seqs": seqs.join(names, KEY, "left_anti").unionByName(entries), "meta": counters}
+    return after | {"new_files": fresh, "new_seqs": entries}
 
 
 def promote(inbox: DataFrame, files: DataFrame, seqs: DataFrame, meta: DataFrame, completions: DataFrame) -> dict[str, DataFrame]:

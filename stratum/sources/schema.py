@@ -17,3 +17,5 @@ TABLES = {
 }
 #: What a peer announces, as the intake takes it.
 UPDATES = f"folder string, name string, arrival bigint, device bigint, {FILE}"
+#: Of tables that grow by appended files: the key of a row, and the column whose greatest value is the row that holds.
+LATEST = {"files": (["folder", "name"], "sequence"), "seqs": (["folder", "name"], "seq"), "inbox": (["folder", "epoch", "name"], "arrival"), "block_refs": (["folder", "hash", "name"], None)}

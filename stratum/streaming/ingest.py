@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import expr
 from stratum.operators.commit import carried, commit, references
+from stratum.sources.schema import LATEST
 from stratum.sources.tables import Conflict, TableStore
 
 KEY = ["folder", "name"]
@@ -69,11 +70,12 @@ class Intake:
 
     The manifest that publishes a batch also records its number, so a batch that is replayed after a failure is passed over.
     It carries all tables the batch changes: files, their sequences and counters, what waits for blocks in the inbox (at the
-    epoch of the writer), and the last sequence seen of each device.
+    epoch of the writer), and the last sequence seen of each device. Changed rows are appended; a table of `generations`
+    appended files is written anew, so that a batch costs what it changes and, one in so many, the table.
     """
 
-    def __init__(self, store: TableStore, retries: int = 3, policy: str = "theirs", epoch: int = 0):
-        self.store, self.retries, self.policy, self.epoch = store, retries, policy, epoch
+    def __init__(self, store: TableStore, retries: int = 3, policy: str = "theirs", epoch: int = 0, generations: int = 16):
+        self.store, self.retries, self.policy, self.epoch, self.generations = store, retries, policy, epoch, generations
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         batch.persist()
@@ -100,15 +102,23 @@ class Intake:
         last = copies.groupBy("folder", "name").agg(F.max_by("row", "arrival").alias("row"), F.max("arrival").alias("arrival"))
         rows = winners.unionByName(last.select(*KEY, "arrival", F.lit(0).alias("part"), "row.*"))
         staged = folded.select(*KEY, F.explode("staged").alias("u")).select("folder", F.lit(self.epoch).cast("long").alias("epoch"), "u.arrival", "name", "u.row.*")
-        waiting = read("inbox").unionByName(staged.select(*read("inbox").columns))
-        latest = waiting.groupBy("folder", "epoch", "name").agg(F.max_by(F.struct(*waiting.columns), "arrival").alias("r")).select("r.*")
+        staged = staged.select(*read("inbox").columns)
+        waiting = staged.groupBy("folder", "epoch", "name").agg(F.max_by(F.struct(*staged.columns), "arrival").alias("r")).select("r.*")
         seen = batch.where(F.col("device").isNotNull()).groupBy("folder", "device").agg(F.max("sequence").alias("seen"))
         peers = read("peers").join(seen, ["folder", "device"], "full_outer").select("folder", "device", F.greatest(F.coalesce("max_sequence", F.lit(0)), F.coalesce("seen", F.lit(0))).alias("max_sequence"))
         known = read("folder_meta").join(files.groupBy("folder").agg(F.max("sequence").alias("high")), "folder", "full_outer")
         meta = known.select("folder", F.greatest(F.coalesce("max_sequence", F.lit(0)), F.coalesce("high", F.lit(0))).alias("max_sequence"), "next_blockseq")
         out = commit(files, read("seqs"), meta, rows, ["part"])
-        refs = read("block_refs").unionByName(references(last.select(*KEY, "row.*"))).distinct()
-        self.store.commit(base, replace={"files": out["files"], "seqs": out["seqs"], "folder_meta": out["meta"], "inbox": latest, "peers": peers, "block_refs": refs}, cursors={"intake": number})
+        more = {"files": out["new_files"], "seqs": out["new_seqs"], "inbox": waiting, "block_refs": references(last.select(*KEY, "row.*"))}
+        full = {t for t in more if len(base.tables.get(t, [])) >= self.generations}
+        anew = {"files": out["files"], "seqs": out["seqs"]} | {t: _latest(read(t).unionByName(more[t]), t) for t in ("inbox", "block_refs")}
+        changes = {t: anew[t] for t in full} | {"folder_meta": out["meta"], "peers": peers}
+        self.store.commit(base, replace=changes, append={t: df for t, df in more.items() if t not in full}, cursors={"intake": number})
+
+
+def _latest(rows: DataFrame, table: str) -> DataFrame:
+    key, latest = LATEST[table]
+    return rows.distinct() if latest is None else rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), latest).alias("r")).select("r.*")
 
 
 def source(spark, path: str, schema: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
@@ -119,9 +129,9 @@ def source(spark, path: str, schema: str, max_files: int | None = None, max_byte
     return reader.parquet(path)
 
 
-def start(source: DataFrame, store: TableStore, checkpoint: str, once: bool = False, policy: str = "theirs"):
+def start(source: DataFrame, store: TableStore, checkpoint: str, once: bool = False, policy: str = "theirs", generations: int = 16):
     """Run the intake over a streaming DataFrame of updates (the columns of files, arrival and device)."""
-    writer = source.writeStream.foreachBatch(Intake(store, policy=policy)).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(Intake(store, policy=policy, generations=generations)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

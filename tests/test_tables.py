@@ -26,7 +26,7 @@ def test_commits_swap_or_conflict(spark, tmp_path):
     with pytest.raises(Conflict):
         store.commit(base, append={"seqs": seqs(spark, ("f", 2, "b"))})
     for i in range(2, 5):
-        store.commit(store.current(), append={"seqs": seqs(spark, ("f", i, "x"))})
+        store.commit(store.current(), append={"seqs": seqs(spark, ("f", i, f"x{i}"))})
     assert store.read("seqs").count() == 4 and store.read("seqs", first).count() == 1 and store.read("peers").count() == 0
     key = store.checkpoint("1h", 100, now=1000.0)
     compacted = store.compact(store.current())
@@ -92,8 +92,18 @@ def relation(new, old):
     return "conflict" if above and below else "after" if above else "none"
 
 
-@pytest.mark.parametrize("policy", ["theirs", "backup"])
-def test_streaming_intake_equals_sequential_model(spark, tmp_path, policy):
+def test_appended_rows_replace_those_of_their_key(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}")
+    for rows in ([("f", 1, "a"), ("f", 2, "b")], [("f", 3, "a")], [("f", 4, "c"), ("g", 1, "a")]):
+        store.commit(store.current(), append={"seqs": seqs(spark, *rows)})
+    want = [("f", 2, "b"), ("f", 3, "a"), ("f", 4, "c"), ("g", 1, "a")]
+    assert sorted(map(tuple, store.read("seqs").collect())) == want
+    store.compact(store.current(), least_files=2)
+    assert len(store.current().tables["seqs"]) == 1 and sorted(map(tuple, store.read("seqs").collect())) == want
+
+
+@pytest.mark.parametrize(("policy", "generations"), [("theirs", 16), ("backup", 16), ("backup", 1)])
+def test_streaming_intake_equals_sequential_model(spark, tmp_path, policy, generations):
     store = TableStore(spark, f"file://{tmp_path}/store")
     rng = random.Random(11)
     names = [f"d/n{i}" for i in range(12)]
@@ -124,7 +134,8 @@ def test_streaming_intake_equals_sequential_model(spark, tmp_path, policy):
     for part in (updates[:25], updates[25:]):
         spark.createDataFrame(part, UPDATES).coalesce(1).write.mode("append").parquet(source)
     for _ in range(2):  # the second run finds nothing new
-        ingest.start(ingest.source(spark, source, UPDATES, max_files=1), store, f"{tmp_path}/offsets", once=True, policy=policy).awaitTermination()
+        ingest.start(ingest.source(spark, source, UPDATES, max_files=1), store, f"{tmp_path}/offsets", once=True, policy=policy, generations=generations).awaitTermination()
+    assert len(store.current().tables["files"]) == (3 if generations == 16 else 1)
     rows = store.read("files").collect()
     row = lambda r: (tuple(int(c.value) for c in r.version), r.blocks[0].hash, r.deleted)
     assert {r.name: row(r) for r in rows if not r.name.endswith(".sync-conflict")} == state
