@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions import expr
@@ -36,16 +36,21 @@ def files(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
-    """One row a block of 1024 characters, with its offset in bytes. Texts are cut first and the pieces exploded, so that no
-    row carries more than its piece."""
+    """One row a block of 1024 characters, with its offset in bytes. Texts are cut and the offsets summed up within their rows,
+    in time that grows with the text, so blocks need no shuffle and no row carries more than its piece."""
     source = files(spark, sf_dir, text=True)
-    count = F.ceil(F.length("text") / CHUNK).cast("int")
-    pieces = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)), lambda i: F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)))
-    out = source.select("folder", "name", "doc_id", "deleted", F.col("size").alias("file_size"), F.posexplode(pieces).alias("block_no", "chunk"))
-    before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns({"hash": F.sha2("chunk", 256), "size": F.octet_length("chunk").cast("int")})
-    out = out if payload else out.drop("chunk")
-    return out.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<chunk:string,offset:bigint>>").alias("list"))
+
+    def add(state: Column, chunk: Column) -> Column:
+        entry = F.struct(chunk.alias("chunk"), state["at"].alias("offset"))
+        return F.struct((state["at"] + F.octet_length(chunk)).alias("at"), F.concat(state["list"], F.array(entry)).alias("list"))
+
+    listed = F.aggregate(pieces, start, add)["list"]
+    out = source.select("folder", "name", "doc_id", "deleted", F.col("size").alias("file_size"), F.posexplode(listed).alias("block_no", "b"))
+    chunk = F.col("b.chunk")
+    out = out.select("folder", "name", "doc_id", "deleted", "file_size", "block_no", chunk.alias("chunk"), F.sha2(chunk, 256).alias("hash"), F.octet_length(chunk).cast("int").alias("size"), "b.offset")
+    return out if payload else out.drop("chunk")
 
 
 def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
