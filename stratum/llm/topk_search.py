@@ -46,7 +46,7 @@ def exact_top_k(
     queries, candidates = (materialize(spark, x.groupBy("id").agg(F.min("v").alias("v")), "vectors") for x in (queries, candidates))
     n, widest = candidates.agg(F.count("*"), F.max(F.size("v"))).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-n * 8 * (widest or 1) // block_bytes), min(4 * tasks, n // 256))
+    blocks = max(1, -(-n * 8 * (widest or 1) // block_bytes), min(2 * tasks, n // 64))
     candidates = candidates.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     queries = queries.withColumn("floor", F.lit(None).cast("double"))
     first = materialize(spark, _search(queries, candidates.where("block = 0"), [0], k, dims), "top-first")
