@@ -854,14 +854,14 @@ def _conflicts(spark, d, policy):
     files = local.select("folder", "name", "version", "deleted", "size", "sequence", "blocks")
     meta, seqs = _meta(spark, d), fx.files(spark, d).select("folder", F.col("sequence").alias("seq"), "name")
     done = commit.commit(files, seqs, meta, rows, ["part"])
-    return done["files"].join(rows.select("folder", "name"), ["folder", "name"], "left_semi").select("folder", "name", "sequence", F.transform("version", lambda c: c["value"].cast("int")).alias("counters"), "deleted")
+    return done["files"].join(rows.select("folder", "name"), ["folder", "name"], "left_semi").select("folder", "name", "sequence", F.array_join(F.transform("version", lambda c: c["value"].cast("string")), ",").alias("counters"), "deleted")
 
 
 _SIDES = """(SELECT p.folder, p.name, p.doc_id, p.deleted, p.rdeleted, f.l1, f.l2, u.r1, u.r2, u.r3, CASE WHEN lt > rt THEN true WHEN lt < rt THEN false WHEN NOT p.deleted AND rdeleted THEN true WHEN p.deleted AND NOT rdeleted THEN false ELSE 0 > p.device END AS local
     FROM pairs p JOIN files f ON p.folder = f.folder AND p.name = f.name JOIN updates u ON p.folder = u.folder AND p.name = u.name WHERE relation = 'Concurrent')"""
 
 
-@query(f"""SELECT c.folder, c.name, h.high + row_number() OVER (PARTITION BY c.folder ORDER BY c.doc_id, c.part) AS sequence, c.counters, c.deleted FROM (
+@query(f"""SELECT c.folder, c.name, h.high + row_number() OVER (PARTITION BY c.folder ORDER BY c.doc_id, c.part) AS sequence, array_to_string(c.counters, ',') AS counters, c.deleted FROM (
     SELECT folder, name || '.sync-conflict' AS name, doc_id, 0 AS part, CASE WHEN local THEN [r1, r2, r3] ELSE [l1, l2, 0] END AS counters, CASE WHEN local THEN rdeleted ELSE deleted END AS deleted FROM {_SIDES}
     UNION ALL SELECT folder, name, doc_id, 1, CASE WHEN local THEN [l1, l2, 0] ELSE [r1, r2, r3] END, CASE WHEN local THEN deleted ELSE rdeleted END FROM {_SIDES}) c JOIN highs h ON c.folder = h.folder""")
 def intake_conflict(spark, d):
@@ -869,7 +869,7 @@ def intake_conflict(spark, d):
     return _conflicts(spark, d, "backup")
 
 
-@query(f"""SELECT c.folder, c.name, h.high + row_number() OVER (PARTITION BY c.folder ORDER BY c.doc_id) AS sequence, [r1, r2, r3] AS counters, c.rdeleted AS deleted FROM {_SIDES} c JOIN highs h ON c.folder = h.folder""")
+@query(f"""SELECT c.folder, c.name, h.high + row_number() OVER (PARTITION BY c.folder ORDER BY c.doc_id) AS sequence, array_to_string([r1, r2, r3], ',') AS counters, c.rdeleted AS deleted FROM {_SIDES} c JOIN highs h ON c.folder = h.folder""")
 def intake_theirs(spark, d):
     """What concurrent updates are resolved to if the remote side always wins."""
     return _conflicts(spark, d, "theirs")
@@ -1044,7 +1044,7 @@ def base64_text(spark, d):
     return coded.withColumn("back", F.decode(F.unbase64("text"), "UTF-8"))
 
 
-@query("SELECT * FROM (VALUES (3600, 7200), (86400, 604800), (1800, 9000)) AS t(interval_s, ttl_s)")
+@query("SELECT CAST(interval_s AS BIGINT) AS interval_s, CAST(ttl_s AS BIGINT) AS ttl_s FROM (VALUES (3600, 7200), (86400, 604800), (1800, 9000)) AS t(interval_s, ttl_s)")
 def schedules_after(spark, d):
     rows = lambda *r: spark.createDataFrame(list(r), "interval_s long, ttl_s long")
     return snapshots.schedules_after(rows((3600, 86400), (86400, 604800), (600, 1200)), rows((3600, 7200), (1800, 9000)), rows((600, 0)).select("interval_s"))
@@ -1053,7 +1053,7 @@ def schedules_after(spark, d):
 @query("SELECT prefix, seen, row_number() OVER (ORDER BY seen DESC, prefix) AS place FROM (SELECT folder AS prefix, count(*) AS seen FROM files GROUP BY folder)")
 def prefix_order(spark, d):
     stats = fx.files(spark, d).groupBy(F.col("folder").alias("prefix")).agg(F.count("*").alias("seen"))
-    return collection.by_rows(stats).select("prefix", "seen", "place")
+    return collection.by_rows(stats).select("prefix", "seen", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT 'folder' AS column, greatest(6, max(length(folder))) AS width FROM files UNION ALL SELECT 'name', greatest(4, max(length(name))) FROM files UNION ALL SELECT 'sequence', greatest(8, max(length(CAST(sequence AS VARCHAR)))) FROM files")
